@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,10 +140,8 @@ def provenance_note(source: Column, note: Column) -> Column:
 
 def fill(template: str, **values: Column) -> Column:
     """A fixed message with ``{name}`` slots filled from columns."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
-    return out
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def quoted(c: Column) -> Column:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from cartonscope import constants as K
 from cartonscope.functions import patterns as P
-from cartonscope.functions import text as X
 
 GROUPS = list(K.ANCHOR_TERMS)
 MAX_DICTIONARY_TERMS = 5_000
@@ -60,38 +59,65 @@ def _lower(terms: list[str]) -> list[str]:
     return [t.lower() for t in terms]
 
 
-def is_exact(text: Column, terms: list[str]) -> Column:
-    return X.folded(text).rlike(P.exact(_lower(terms)))
+def literal(pattern: str) -> str:
+    """A pattern as a raw SQL string literal."""
+    quote = "'" if "'" not in pattern else '"'
+    if quote in pattern:
+        raise ValueError("a dictionary term may not hold both kinds of quotes")
+    return f"r{quote}{pattern}{quote}"
 
 
-def is_fuzzy(text: Column, terms: list[str]) -> Column:
-    long = _lower(_fuzzy_terms(terms))
-    low = F.lower(text)
-    return low.rlike(P.halves(long)) & low.rlike(P.fuzzy(long)) if long else F.lit(False)
+FOLDED, LOWER = "translate(lower({c}), 'ſıK', 'sik')", "lower({c})"
 
 
-def is_stray(text: Column, terms: list[str]) -> Column:
+def exact_sql(c: str, terms: list[str]) -> str:
+    return f"{FOLDED.format(c=c)} RLIKE {literal(P.exact(_lower(terms)))}"
+
+
+def fuzzy_sql(c: str, terms: list[str]) -> str:
+    long, low = _lower(_fuzzy_terms(terms)), LOWER.format(c=c)
+    if not long:
+        return "false"
+    return f"({low} RLIKE {literal(P.halves(long))} AND {low} RLIKE {literal(P.fuzzy(long))})"
+
+
+def stray_sql(c: str, terms: list[str]) -> str:
     mid = _lower(_stray_terms(terms))
-    return F.lower(text).rlike(P.stray(mid)) if mid else F.lit(False)
+    return f"{LOWER.format(c=c)} RLIKE {literal(P.stray(mid))}" if mid else "false"
 
 
-def hits(text: Column, terms: list[str]) -> Column:
+def hit_sql(c: str, terms: list[str]) -> str:
     """Any tier; the cheap tiers come first so the costly one runs only where they fail."""
-    return is_exact(text, terms) | is_stray(text, terms) | is_fuzzy(text, terms)
+    return f"({exact_sql(c, terms)} OR {stray_sql(c, terms)} OR {fuzzy_sql(c, terms)})"
+
+
+def is_exact(column: str, terms: list[str]) -> Column:
+    return F.expr(exact_sql(column, terms))
+
+
+def is_fuzzy(column: str, terms: list[str]) -> Column:
+    return F.expr(fuzzy_sql(column, terms))
 
 
-def _terms_found(text: Column, dictionary: Dictionary, qualifies, test) -> Column:
+def is_stray(column: str, terms: list[str]) -> Column:
+    return F.expr(stray_sql(column, terms))
+
+
+def hits(column: str, terms: list[str]) -> Column:
+    return F.expr(hit_sql(column, terms))
+
+
+def _terms_found(dictionary: Dictionary, qualifies, test) -> Column:
     """array(struct(grp, term)) of the terms that pass ``test``; a group's terms are tried one by
     one only where the group's combined pattern has matched."""
     per_group = []
     for grp, terms in dictionary.items():
         chosen = qualifies(terms)
         if chosen:
-            found = F.array_compact(F.array(*[
-                F.when(test(text, [t]), F.struct(F.lit(grp).alias("grp"), F.lit(t).alias("term")))
-                for t in chosen]))
-            per_group.append(F.when(test(text, chosen), found))
-    return F.flatten(F.array_compact(F.array(*per_group)))
+            found = ", ".join(f"IF({test('text', [t])}, named_struct('grp', {literal(grp)}, 'term', {literal(t)}), NULL)"
+                              for t in chosen)
+            per_group.append(f"IF({test('text', chosen)}, array_compact(array({found})), NULL)")
+    return F.expr(f"flatten(array_compact(array({', '.join(per_group)})))")
 
 
 def _explode_terms(regions: DataFrame, found: Column) -> DataFrame:
@@ -100,34 +126,33 @@ def _explode_terms(regions: DataFrame, found: Column) -> DataFrame:
 
 def anchor_exact(regions: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     d = dictionary or compile_dictionary()
-    return _explode_terms(regions, _terms_found(F.col("text"), d, lambda t: t, is_exact))
+    return _explode_terms(regions, _terms_found(d, lambda t: t, exact_sql))
 
 
 def anchor_fuzzy(regions: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     d = dictionary or compile_dictionary()
-    return _explode_terms(regions, _terms_found(F.col("text"), d, _fuzzy_terms, is_fuzzy))
+    return _explode_terms(regions, _terms_found(d, _fuzzy_terms, fuzzy_sql))
 
 
 def anchor_stray(regions: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     d = dictionary or compile_dictionary()
-    return _explode_terms(regions, _terms_found(F.col("text"), d, _stray_terms, is_stray))
+    return _explode_terms(regions, _terms_found(d, _stray_terms, stray_sql))
 
 
 def with_hits(regions: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     """Adds one boolean ``hit_<group>`` per dictionary group."""
     d = dictionary or compile_dictionary()
-    return regions.withColumns({f"hit_{g}": hits(F.col("text"), t) for g, t in d.items() if t})
+    return regions.withColumns({f"hit_{g}": hits("text", t) for g, t in d.items() if t})
 
 
 def anchor_match(regions: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     """(scan, box, group) with the first tier that fired: exact, then fuzzy, then stray."""
     d = dictionary or compile_dictionary()
-    text = F.col("text")
-    tiers = [F.struct(F.lit(g).alias("grp"),
-                      F.when(is_exact(text, t), "exact").when(is_fuzzy(text, t), "fuzzy")
-                      .when(is_stray(text, t), "stray").alias("tier"))
-             for g, t in d.items() if t]
-    return (regions.select("scan_id", "region_idx", "text", F.inline(F.array(*tiers)))
+    tiers = ", ".join(
+        f"named_struct('grp', {literal(g)}, 'tier', CASE WHEN {exact_sql('text', t)} THEN 'exact' "
+        f"WHEN {fuzzy_sql('text', t)} THEN 'fuzzy' WHEN {stray_sql('text', t)} THEN 'stray' END)"
+        for g, t in d.items() if t)
+    return (regions.select("scan_id", "region_idx", "text", F.expr(f"inline(array({tiers}))"))
             .filter("tier IS NOT NULL"))
 
 
@@ -137,15 +162,6 @@ def first_anchor(regions: DataFrame, dictionary: Dictionary | None = None) -> Da
             .agg(F.min("region_idx").alias("region_idx")))
 
 
-def any_hit(dictionary: Dictionary | None = None) -> Column:
-    d = dictionary or compile_dictionary()
-    expr = F.lit(False)
-    for terms in d.values():
-        if terms:
-            expr = expr | hits(F.col("text"), terms)
-    return expr
-
-
 def unanchored(regions: DataFrame, matches: DataFrame) -> DataFrame:
     return regions.join(matches.select("scan_id", "region_idx"), ["scan_id", "region_idx"], "left_anti")
 

@@ -29,19 +29,7 @@ def _region() -> Column:
 
 
 def not_found() -> Column:
-    return extracted_field(F.lit(None).cast("struct<text:string,x:int,y:int,width:int,height:int,"
-                                            "confidence:double,language:string>"), F.lit(None).cast("string"))
-
-
-def extracted_field(region: Column, value: Column) -> Column:
-    """Value with its provenance; not found when the box or the value is missing."""
-    found = region.isNotNull() & value.isNotNull()
-    return F.struct(
-        F.when(found, value).alias("value"), F.when(found, region["text"]).alias("raw_text_span"),
-        F.when(found, L.box_of(region)).alias("bounding_box"),
-        F.when(found, region["confidence"]).alias("ocr_confidence"),
-        F.when(found, region["language"]).alias("language"), found.alias("found"),
-        F.lit("ocr").alias("source"), F.lit(None).cast("string").alias("disagreement_note")).cast(EXTRACTED)
+    return F.expr(NOT_FOUND_SQL)
 
 
 def _norm(text: Column) -> Column:
@@ -111,9 +99,6 @@ def unpacked(firsts: DataFrame, dictionary: A.Dictionary | None = None) -> DataF
 
 _OWN_MATCH = {"mrp": price_or_number, "net_qty": lambda t: X.quantity_of(t)["value"],
               "mfg_date": date_in, "best_before": date_in}
-_ROW_MATCH = {"mrp": price_only, "net_qty": lambda t: X.quantity_of(t)["value"],
-              "mfg_date": date_in, "best_before": date_in}
-
 
 def row_anchors(firsts: DataFrame, dictionary: A.Dictionary | None = None) -> DataFrame:
     """Anchors whose own box carries no value: at most four per scan, none where a scan has no
@@ -134,14 +119,14 @@ def match_in_row(anchors: DataFrame, regions: DataFrame) -> DataFrame:
     one text, and the evidence is the companions without the label.
     """
     companions = L.row_companions(anchors, regions)
-    own = reduce(lambda acc, kv: acc.when(F.col("anchor_key") == kv[0], kv[1](F.col("text"))),
-                 list(_ROW_MATCH.items())[1:],
-                 F.when(F.col("anchor_key") == "mrp", price_only(F.col("text"))))
+    def read_for_anchor(text: Column) -> Column:
+        key = F.col("anchor_key")
+        return (F.when(key == "mrp", price_only(text)).when(key == "net_qty", X.quantity_of(text)["value"])
+                .otherwise(date_in(text)))
+    own = read_for_anchor(F.col("text"))
     rows = L.row_summary(companions, ("near", own))
-    whole = F.concat_ws(" ", "anchor_text", "companion_text")
-    whole_value = reduce(lambda acc, kv: acc.when(F.col("anchor_key") == kv[0], kv[1](whole)),
-                         list(_ROW_MATCH.items())[1:],
-                         F.when(F.col("anchor_key") == "mrp", price_only(whole)))
+    rows = rows.withColumn("whole_value", read_for_anchor(F.concat_ws(" ", "anchor_text", "companion_text")))
+    whole_value = F.col("whole_value")
     # a quantity found only across boxes must also be readable without the label
     value = F.when(F.col("anchor_key") == "net_qty",
                    F.when(whole_value.isNotNull(), X.quantity_of(F.col("companion_text"))["value"])
@@ -168,79 +153,75 @@ def with_row_matches(firsts: DataFrame, regions: DataFrame, dictionary: A.Dictio
     return unpacked(firsts, dictionary).join(wide, "scan_id", "left")
 
 
-# ---- one builder per declaration, each over the row of first_boxes + row matches --------------
-
-def mrp_field() -> Column:
-    at = F.col("at_mrp")
-    own = price_or_number(at["text"])
-    return F.when(own.isNotNull(), extracted_field(at, own)).otherwise(
-        extracted_field(F.col("row_mrp.region"), F.col("row_mrp.value")))
-
-
-def tax_field() -> Column:
-    return extracted_field(F.col("at_tax_inclusive"), F.lit("yes"))
-
-
-def quantity_region() -> Column:
-    at = F.col("at_net_qty")
-    as_region = F.struct(*[at[c].alias(c) for c in ("text", "x", "y", "width", "height", "confidence", "language")])
-    anyq = F.col("at_any_qty")
-    loose = F.struct(*[anyq[c].alias(c) for c in ("text", "x", "y", "width", "height", "confidence", "language")])
-    return (F.when(at.isNull(), F.when(anyq.isNotNull(), loose))
-            .when(X.quantity_of(at["text"]).isNotNull(), as_region)
-            .otherwise(F.col("row_net_qty.region")))
-
-
-def quantity_fields() -> tuple[Column, Column]:
-    region = quantity_region()
-    q = X.quantity_of(region["text"])
-    return extracted_field(region, q["value"]), extracted_field(region, q["unit"])
-
-
-def date_field(group: str, fallback: Column | None = None) -> Column:
-    at, row = F.col(f"at_{group}"), F.col(f"row_{group}")
-    own = date_in(at["text"])
-    last = extracted_field(at, fallback) if fallback is not None else not_found()
-    return (F.when(own.isNotNull(), extracted_field(at, own))
-            .when(row.isNotNull(), extracted_field(row["region"], row["value"])).otherwise(last))
-
-
-def whole_text_field(at: Column) -> Column:
-    return extracted_field(at, X.strip(at["text"]))
-
-
-def care_fields() -> dict[str, Column]:
-    at = F.col("at_consumer_care")
-    anchored = at.isNotNull()
-    loose = plain_phone(at["text"], P.PHONE_LOOSE)
-    phone_at, email_at = F.col("at_phone"), F.col("at_email")
-    return {
-        "consumer_care_name": whole_text_field(at), "consumer_care_address": whole_text_field(at),
-        "consumer_care_phone": F.when(anchored, extracted_field(at, loose)).otherwise(
-            extracted_field(phone_at, X.phone_strict(phone_at["text"]))),
-        "consumer_care_email": F.when(anchored, extracted_field(at, X.email(at["text"]))).otherwise(
-            extracted_field(email_at, X.email(email_at["text"])))}
-
-
-def unit_price_field() -> Column:
-    at = F.col("at_unit_sale_price")
-    return extracted_field(at, price_or_number(at["text"]))
-
-
-def field_columns() -> dict[str, Column]:
-    value, unit = quantity_fields()
-    bb = F.col("at_best_before")
-    maker = whole_text_field(F.col("at_manufacturer"))
-    cols = {
-        "manufacturer_name": maker, "manufacturer_address": maker,
-        "country_of_origin": whole_text_field(F.col("at_country_of_origin")),
-        "common_generic_name": whole_text_field(F.col("at_name")),
-        "net_quantity_value": value, "net_quantity_unit": unit,
-        "mfg_month_year": date_field("mfg_date"),
-        "best_before_use_by": date_field("best_before", X.strip(bb["text"])),
-        "mrp_value": mrp_field(), "mrp_inclusive_of_taxes_stated": tax_field(),
-        **care_fields(), "unit_sale_price": unit_price_field()}
-    return {f: cols[f] for f in K.DECLARATION_FIELDS}
+# ---- declarations, built in three steps so that no expression is repeated ---------------------
+# step 1 reads the value off each first box, step 2 picks box and value, step 3 wraps them
+
+REGION_PARTS = ("text", "x", "y", "width", "height", "confidence", "language")
+
+
+def _plain(box: str) -> str:
+    """SQL: a box without its index, NULL when there is none."""
+    parts = ", ".join(f"'{p}', {box}.{p}" for p in REGION_PARTS)
+    return f"IF({box} IS NULL, NULL, named_struct({parts}))"
+
+
+def field_sql(region: str, value: str) -> str:
+    """SQL: the provenance struct of a named box and value."""
+    return (f"IF({region} IS NOT NULL AND {value} IS NOT NULL, named_struct('value', {value}, 'raw_text_span', {region}.text, "
+            f"'bounding_box', named_struct('x', {region}.x, 'y', {region}.y, 'width', {region}.width, 'height', {region}.height), "
+            f"'ocr_confidence', {region}.confidence, 'language', {region}.language, 'found', true, 'source', 'ocr', "
+            f"'disagreement_note', CAST(NULL AS STRING)), {NOT_FOUND_SQL})")
+
+
+NOT_FOUND_SQL = ("named_struct('value', CAST(NULL AS STRING), 'raw_text_span', CAST(NULL AS STRING), 'bounding_box', "
+                 "CAST(NULL AS STRUCT<x: INT, y: INT, width: INT, height: INT>), 'ocr_confidence', CAST(NULL AS DOUBLE), "
+                 "'language', CAST(NULL AS STRING), 'found', false, 'source', 'ocr', 'disagreement_note', CAST(NULL AS STRING))")
+
+
+def read_values(rows: DataFrame) -> DataFrame:
+    def text(name):
+        return F.col(f"at_{name}.text")
+    return rows.withColumns({
+        "own_mrp": price_or_number(text("mrp")), "own_mfg_date": date_in(text("mfg_date")),
+        "own_best_before": date_in(text("best_before")), "own_unit_price": price_or_number(text("unit_sale_price")),
+        "own_has_qty": X.quantity_of(text("net_qty")).isNotNull(), "yes": F.lit("yes"),
+        **{f"all_{n}": X.strip(text(n)) for n in ("best_before", "manufacturer", "country_of_origin", "name", "consumer_care")},
+        "care_phone": plain_phone(text("consumer_care"), P.PHONE_LOOSE), "care_email": X.email(text("consumer_care")),
+        "loose_phone": X.phone_strict(text("phone")), "loose_email": X.email(text("email"))})
+
+
+def pick_boxes(read: DataFrame) -> DataFrame:
+    picked = {
+        "box_mrp": f"IF(own_mrp IS NOT NULL, {_plain('at_mrp')}, row_mrp.region)",
+        "val_mrp": "coalesce(own_mrp, row_mrp.value)",
+        "box_qty": f"CASE WHEN at_net_qty IS NULL THEN {_plain('at_any_qty')} WHEN own_has_qty THEN {_plain('at_net_qty')} "
+                   "ELSE row_net_qty.region END",
+        "box_mfg": f"IF(own_mfg_date IS NOT NULL, {_plain('at_mfg_date')}, row_mfg_date.region)",
+        "val_mfg": "coalesce(own_mfg_date, row_mfg_date.value)",
+        "box_bb": f"IF(own_best_before IS NULL AND row_best_before IS NOT NULL, row_best_before.region, {_plain('at_best_before')})",
+        "val_bb": "coalesce(own_best_before, row_best_before.value, all_best_before)",
+        "box_phone": f"IF(at_consumer_care IS NOT NULL, {_plain('at_consumer_care')}, {_plain('at_phone')})",
+        "val_phone": "IF(at_consumer_care IS NOT NULL, care_phone, loose_phone)",
+        "box_email": f"IF(at_consumer_care IS NOT NULL, {_plain('at_consumer_care')}, {_plain('at_email')})",
+        "val_email": "IF(at_consumer_care IS NOT NULL, care_email, loose_email)"}
+    boxes = read.withColumns({n: F.expr(e) for n, e in picked.items()})
+    q = X.quantity_of(F.col("box_qty.text"))
+    return boxes.withColumn("qty", q).withColumns({"qty_value": F.col("qty.value"), "qty_unit": F.col("qty.unit")})
+
+
+# declaration -> (box column, value column)
+FIELD_SOURCES = {
+    "manufacturer_name": ("at_manufacturer", "all_manufacturer"),
+    "manufacturer_address": ("at_manufacturer", "all_manufacturer"),
+    "country_of_origin": ("at_country_of_origin", "all_country_of_origin"),
+    "common_generic_name": ("at_name", "all_name"),
+    "net_quantity_value": ("box_qty", "qty_value"), "net_quantity_unit": ("box_qty", "qty_unit"),
+    "mfg_month_year": ("box_mfg", "val_mfg"), "best_before_use_by": ("box_bb", "val_bb"),
+    "mrp_value": ("box_mrp", "val_mrp"), "mrp_inclusive_of_taxes_stated": ("at_tax_inclusive", "yes"),
+    "consumer_care_name": ("at_consumer_care", "all_consumer_care"),
+    "consumer_care_address": ("at_consumer_care", "all_consumer_care"),
+    "consumer_care_phone": ("box_phone", "val_phone"), "consumer_care_email": ("box_email", "val_email"),
+    "unit_sale_price": ("at_unit_sale_price", "own_unit_price")}
 
 
 def soft_quality_warning(n_regions: Column, found: list[Column]) -> Column:
@@ -253,10 +234,11 @@ def extract_declarations(regions: DataFrame, dictionary: A.Dictionary | None = N
     """One row per scan that has at least one box: the fifteen fields, inferred flags and heights."""
     dictionary = dictionary or A.compile_dictionary()
     rows = with_row_matches(first_boxes(regions, dictionary), regions, dictionary)
-    out = rows.select("scan_id", "n_regions", F.col("at_tallest.height").cast("double").alias("tallest"),
+    picked = pick_boxes(read_values(rows))
+    out = picked.select("scan_id", "n_regions", F.col("at_tallest.height").cast("double").alias("tallest"),
                       F.col("at_best_before").isNotNull().alias("has_best_before"),
                       F.col("at_country_of_origin").isNotNull().alias("has_country"),
-                      *[c.alias(f) for f, c in field_columns().items()])
+                      *[F.expr(field_sql(*FIELD_SOURCES[f])).alias(f) for f in K.DECLARATION_FIELDS])
     unit = F.when(F.col("net_quantity_value.found"), F.col("net_quantity_unit.value"))
     named = {n: F.col(f"{f}.bounding_box.height").cast("double") for n, f in
              [("mrp_height", "mrp_value"), ("quantity_height", "net_quantity_value")]}

@@ -27,9 +27,9 @@ def better_pass(p: Column, s: Column) -> Column:
     return F.when(take_second, s).otherwise(F.coalesce(p, not_found()))
 
 
-def with_vision(ocr: Column, vision: Column) -> Column:
+def with_vision(ocr: Column, vision: Column, agree: Column | None = None) -> Column:
     """Vision fills gaps, corroborates agreement, and wins disagreement while OCR keeps the box."""
-    agree = X.values_agree(ocr["value"], vision["value"])
+    agree = agree if agree is not None else X.values_agree(ocr["value"], vision["value"])
     combined = F.struct(
         F.when(agree, ocr["value"]).otherwise(vision["value"]).alias("value"), ocr["raw_text_span"].alias("raw_text_span"),
         ocr["bounding_box"].alias("bounding_box"), ocr["ocr_confidence"].alias("ocr_confidence"),
@@ -61,7 +61,10 @@ def merge_passes(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def merge_vision(ocr: DataFrame, vision: DataFrame) -> DataFrame:
     j = ocr.join(_second_side(vision), "scan_id", "left")
-    merged = j.withColumns({f: with_vision(F.col(f), F.col(f"s_{f}")) for f in K.DECLARATION_FIELDS})
+    agree = j.withColumns({f"agree_{f}": X.values_agree(F.col(f"{f}.value"), F.col(f"s_{f}.value"))
+                           for f in K.DECLARATION_FIELDS})
+    merged = agree.withColumns({f: with_vision(F.col(f), F.col(f"s_{f}"), F.col(f"agree_{f}"))
+                                for f in K.DECLARATION_FIELDS})
     return merged.withColumns({
         "commodity_category": rederive_category(F.col("net_quantity_unit.value"), F.col("commodity_category")),
         "is_imported": F.when(F.col("country_of_origin.found"), F.lit(True)).otherwise(F.col("is_imported")),

@@ -1,6 +1,6 @@
 """The fourteen tri-state rules as column expressions over one declarations row.
 
-A rule is a function ``(row) -> outcome struct`` where ``row`` gives access to the declaration
+A rule is a function ``(row) -> [Case, ...]`` where ``row`` gives access to the declaration
 columns; the registry evaluates all of them in a single projection. User rules register the same way
 and are counted like the built-in ones.
 """
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from cartonscope import constants as K
 from cartonscope.functions import text as X
-from cartonscope.operators import layout as L
-from cartonscope.operators.merging import low_confidence, needs_manual_check
-from cartonscope.schemas import EVIDENCE
+from cartonscope.operators.merging import trust_flags
+from cartonscope.schemas import EVIDENCE, EXTRACTED
 
 Row = Callable[[str], Column]
 PASS, FAIL, NV, NA = K.PASS, K.FAIL, K.NEEDS_VERIFICATION, K.NOT_APPLICABLE
@@ -35,103 +34,115 @@ def field_evidence(f: Column) -> Column:
                     f["language"])
 
 
-def outcome(status: str | Column, notes: str | Column = "", proof: Column | None = None,
-            reference: str | None = None) -> Column:
-    def text(v):
-        return F.lit(v) if isinstance(v, str) else v
-    return F.struct(text(status).alias("status"), text(notes).alias("notes"),
-                    (proof if proof is not None else evidence()).alias("evidence"),
-                    F.lit(reference).cast("string").alias("reference"))
+class Case:
+    """One branch of a rule: condition (None = otherwise), status, notes, evidence, reference."""
 
+    def __init__(self, when: Column | None, status: str | Column, notes: str | Column = "",
+                 proof: Column | None = None, reference: str | None = None) -> None:
+        def text(v):
+            return F.lit(v) if isinstance(v, str) else v
+        self.when, self.status, self.notes = when, text(status), text(notes)
+        self.proof = proof if proof is not None else evidence()
+        self.reference = F.lit(reference).cast("string")
 
-def found_or_fail(f: Column) -> Column:
-    low = F.when(low_confidence(f), K.NOTE_LOW_CONFIDENCE).otherwise("")
+
+Cases = list[Case]
+
+
+def field_facts() -> dict[str, Column]:
+    """``low__<field>`` and ``check__<field>``: trust flags the rules share."""
+    out = {}
+    for f in K.DECLARATION_FIELDS:
+        low = f"({f}.source <> 'ocr+vision' AND coalesce({f}.ocr_confidence < {K.LOW_CONFIDENCE}, false))"
+        out[f"low__{f}"] = F.expr(low)
+        out[f"check__{f}"] = F.expr(f"{f}.disagreement_note IS NOT NULL OR {low}")
+    return out
+
+
+def found_or_fail(d: Row, name: str) -> Cases:
+    f = d(name)
+    low = F.when(d(f"low__{name}"), K.NOTE_LOW_CONFIDENCE).otherwise("")
     notes = X.join_notes(low, X.provenance_note(f["source"], f["disagreement_note"]))
-    status = F.when(needs_manual_check(f), NV).otherwise(PASS)
     missing = ~f["found"] | (F.coalesce(f["value"], F.lit("")) == "")
-    return F.when(missing, outcome(FAIL, K.NOTE_NOT_FOUND, field_evidence(f))).otherwise(
-        outcome(status, notes, field_evidence(f)))
+    return [Case(missing, FAIL, K.NOTE_NOT_FOUND, field_evidence(f)),
+            Case(None, F.when(d(f"check__{name}"), NV).otherwise(PASS), notes, field_evidence(f))]
 
 
-def checked_value(f: Column) -> Column:
+def checked_value(d: Row, name: str) -> Case:
     """PASS, or a manual check with the low-confidence note."""
-    doubtful = needs_manual_check(f)
-    return outcome(F.when(doubtful, NV).otherwise(PASS),
-                   F.when(doubtful, K.NOTE_LOW_CONFIDENCE).otherwise(""), field_evidence(f))
+    doubtful = d(f"check__{name}")
+    return Case(None, F.when(doubtful, NV).otherwise(PASS), F.when(doubtful, K.NOTE_LOW_CONFIDENCE).otherwise(""),
+                field_evidence(d(name)))
 
 
-def manufacturer(d: Row) -> Column:
+def manufacturer(d: Row) -> Cases:
     name, address = d("manufacturer_name"), d("manufacturer_address")
-    doubtful = (name["found"] & needs_manual_check(name)) | (address["found"] & needs_manual_check(address))
-    return (F.when(~name["found"] & ~address["found"], outcome(FAIL, K.NOTE_MAKER_MISSING))
-            .when(~name["found"] | ~address["found"], outcome(NV, K.NOTE_MAKER_PARTIAL, field_evidence(name)))
-            .when(doubtful, outcome(NV, K.NOTE_MAKER_LOW, field_evidence(name)))
-            .otherwise(outcome(PASS, "", field_evidence(name))))
+    doubtful = ((name["found"] & d("check__manufacturer_name"))
+                | (address["found"] & d("check__manufacturer_address")))
+    proof = field_evidence(name)
+    return [Case(~name["found"] & ~address["found"], FAIL, K.NOTE_MAKER_MISSING),
+            Case(~name["found"] | ~address["found"], NV, K.NOTE_MAKER_PARTIAL, proof),
+            Case(doubtful, NV, K.NOTE_MAKER_LOW, proof), Case(None, PASS, "", proof)]
 
 
-def country(d: Row) -> Column:
+def country(d: Row) -> Cases:
     imported = d("is_imported")
-    return (F.when(imported.isNull(), outcome(NV, K.NOTE_IMPORT_UNKNOWN))
-            .when(~imported, outcome(NA, K.NOTE_DOMESTIC)).otherwise(found_or_fail(d("country_of_origin"))))
+    return [Case(imported.isNull(), NV, K.NOTE_IMPORT_UNKNOWN), Case(~imported, NA, K.NOTE_DOMESTIC),
+            *found_or_fail(d, "country_of_origin")]
 
 
-def generic_name(d: Row) -> Column:
-    return found_or_fail(d("common_generic_name"))
+def generic_name(d: Row) -> Cases:
+    return found_or_fail(d, "common_generic_name")
 
 
-def net_quantity(d: Row) -> Column:
+def net_quantity(d: Row) -> Cases:
     value, unit_field = d("net_quantity_value"), d("net_quantity_unit")
     unit = F.lower(X.strip(F.coalesce(unit_field["value"], F.lit(""))))
     counted = unit.isin(*K.COUNT_UNITS)
     category = F.coalesce(d("commodity_category"), F.lit(""))
     proof = field_evidence(value)
-    return (F.when(~value["found"], outcome(FAIL, K.NOTE_QTY_MISSING))
-            .when(~unit_field["found"], outcome(NV, K.NOTE_QTY_NO_UNIT, proof))
-            .when((category == "liquid") & counted, outcome(FAIL, X.fill(K.NOTE_LIQUID_COUNT, unit=unit), proof))
-            .when((category == "solid") & counted, outcome(NV, X.fill(K.NOTE_SOLID_COUNT, unit=unit), proof))
-            .otherwise(checked_value(value)))
+    return [Case(~value["found"], FAIL, K.NOTE_QTY_MISSING), Case(~unit_field["found"], NV, K.NOTE_QTY_NO_UNIT, proof),
+            Case((category == "liquid") & counted, FAIL, X.fill(K.NOTE_LIQUID_COUNT, unit=unit), proof),
+            Case((category == "solid") & counted, NV, X.fill(K.NOTE_SOLID_COUNT, unit=unit), proof),
+            checked_value(d, "net_quantity_value")]
 
 
-def mfg_date(d: Row) -> Column:
-    return found_or_fail(d("mfg_month_year"))
+def mfg_date(d: Row) -> Cases:
+    return found_or_fail(d, "mfg_month_year")
 
 
-def best_before(d: Row) -> Column:
+def best_before(d: Row) -> Cases:
     perishable = d("is_perishable_category")
-    return (F.when(perishable.isNull(), outcome(NV, K.NOTE_PERISHABLE_UNKNOWN))
-            .when(~perishable, outcome(NA, K.NOTE_NOT_PERISHABLE)).otherwise(found_or_fail(d("best_before_use_by"))))
+    return [Case(perishable.isNull(), NV, K.NOTE_PERISHABLE_UNKNOWN), Case(~perishable, NA, K.NOTE_NOT_PERISHABLE),
+            *found_or_fail(d, "best_before_use_by")]
 
 
-def mrp(d: Row) -> Column:
+def mrp(d: Row) -> Cases:
     value = d("mrp_value")
-    return (F.when(~value["found"], outcome(FAIL, K.NOTE_MRP_MISSING))
-            .when(~d("mrp_inclusive_of_taxes_stated")["found"], outcome(FAIL, K.NOTE_TAX_MISSING, field_evidence(value)))
-            .otherwise(checked_value(value)))
+    return [Case(~value["found"], FAIL, K.NOTE_MRP_MISSING),
+            Case(~d("mrp_inclusive_of_taxes_stated")["found"], FAIL, K.NOTE_TAX_MISSING, field_evidence(value)),
+            checked_value(d, "mrp_value")]
 
 
-def consumer_care(d: Row) -> Column:
-    fields = [d(f"consumer_care_{p}") for p in ("name", "address", "phone", "email")]
-    n = sum((f["found"].cast("int") for f in fields), F.lit(0))
-    proof = F.coalesce(*[F.when(f["found"], field_evidence(f)) for f in fields])
-    return (F.when(n == 0, outcome(FAIL, K.NOTE_CARE_MISSING))
-            .when(n < len(fields), outcome(NV, X.fill(K.NOTE_CARE_PARTIAL, n=n), proof))
-            .otherwise(outcome(PASS, "", proof)))
+def consumer_care(d: Row) -> Cases:
+    names = [f"consumer_care_{p}" for p in ("name", "address", "phone", "email")]
+    n = sum((d(f)["found"].cast("int") for f in names), F.lit(0))
+    proof = F.coalesce(*[F.when(d(f)["found"], field_evidence(d(f))) for f in names])
+    return [Case(n == 0, FAIL, K.NOTE_CARE_MISSING),
+            Case(n < len(names), NV, X.fill(K.NOTE_CARE_PARTIAL, n=n), proof), Case(None, PASS, "", proof)]
 
 
-def unit_price(d: Row) -> Column:
+def unit_price(d: Row) -> Cases:
     price = d("unit_sale_price")
-    return (F.when(F.coalesce(d("is_combination_or_multipiece_package"), F.lit(False)), outcome(NA, K.NOTE_MULTIPIECE))
-            .when(~price["found"], outcome(NV, K.NOTE_UNIT_PRICE_MISSING))
-            .otherwise(outcome(PASS, "", field_evidence(price))))
+    return [Case(F.coalesce(d("is_combination_or_multipiece_package"), F.lit(False)), NA, K.NOTE_MULTIPIECE),
+            Case(~price["found"], NV, K.NOTE_UNIT_PRICE_MISSING), Case(None, PASS, "", field_evidence(price))]
 
 
-def not_misleading(d: Row) -> Column:
-    value = d("net_quantity_value")
-    terms = X.misleading_terms(value["raw_text_span"])
-    return (F.when(~value["found"], outcome(NA, K.NOTE_NO_QTY_TO_CHECK))
-            .when(F.size(terms) > 0, outcome(FAIL, X.fill(K.NOTE_MISLEADING, terms=F.array_join(terms, ", ")),
-                                             field_evidence(value)))
-            .otherwise(outcome(PASS, "", field_evidence(value))))
+def not_misleading(d: Row) -> Cases:
+    value, terms = d("net_quantity_value"), d("misleading")
+    return [Case(~value["found"], NA, K.NOTE_NO_QTY_TO_CHECK),
+            Case(terms != "", FAIL, X.fill(K.NOTE_MISLEADING, terms=terms), field_evidence(value)),
+            Case(None, PASS, "", field_evidence(value))]
 
 
 def min_height_mm(area: Column) -> Column:
@@ -144,69 +155,69 @@ def min_height_mm(area: Column) -> Column:
     return chain
 
 
-def _height_rule(height_column: str, label: str) -> Callable[[Row], Column]:
-    def rule(d: Row) -> Column:
-        px, ref_px, scale = d(height_column), d("ref_height"), d("px_per_mm")
-        area = d("pdp_area_cm2")
-        calibrated = d("calibration_available") & area.isNotNull() & px.isNotNull()
-        mm = px / F.nullif(scale, F.lit(0.0))
-        need = min_height_mm(area)
-        shown = F.format_string("%.2f", F.bround(mm, 2))
-        measured = X.fill(K.NOTE_HEIGHT, label=F.lit(label), min=need, area=F.bround(area, 0).cast("bigint"), mm=shown)
-        ratio = px / F.nullif(ref_px, F.lit(0.0))
-        relative = F.when(ratio < K.DISPROPORTION_RATIO,
-                          X.fill(K.NOTE_HEIGHT_SMALL, label=F.lit(label), pct=X.percent(ratio))).otherwise(
-            X.fill(K.NOTE_HEIGHT_FINE, label=F.lit(label), pct=X.percent(ratio)))
-        return (F.when(F.coalesce(d("is_medical_device"), F.lit(False)),
-                       outcome(NA, K.NOTE_MEDICAL, reference=K.MEDICAL_REFERENCE))
-                .when(F.coalesce(calibrated, F.lit(False)),
-                      outcome(F.when(mm >= need, PASS).otherwise(FAIL), measured,
-                              evidence(X.fill(K.VALUE_HEIGHT, mm=shown))))
-                .when(ratio.isNull(), outcome(NV, K.NOTE_HEIGHT_NO_DATA))
-                .otherwise(outcome(NV, relative)))
+def height_facts(key: str, height_column: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Two steps of columns: measured mm and relative height, then their printed forms."""
+    px = F.col(height_column)
+    return ({f"mm__{key}": px / F.nullif(F.col("px_per_mm"), F.lit(0.0)),
+             f"ratio__{key}": px / F.nullif(F.col("ref_height"), F.lit(0.0))},
+            {f"shown__{key}": F.format_string("%.2f", F.bround(F.col(f"mm__{key}"), 2)),
+             f"pct__{key}": X.percent(F.col(f"ratio__{key}"))})
+
+
+def _height_rule(key: str, height_column: str, label: str) -> Callable[[Row], Cases]:
+    def rule(d: Row) -> Cases:
+        need, shown, ratio, pct = d("need_mm"), d(f"shown__{key}"), d(f"ratio__{key}"), d(f"pct__{key}")
+        calibrated = d("calibration_available") & d("pdp_area_cm2").isNotNull() & d(height_column).isNotNull()
+        measured = X.fill(K.NOTE_HEIGHT, label=F.lit(label), min=need,
+                          area=F.bround(d("pdp_area_cm2"), 0).cast("bigint"), mm=shown)
+        return [Case(F.coalesce(d("is_medical_device"), F.lit(False)), NA, K.NOTE_MEDICAL, reference=K.MEDICAL_REFERENCE),
+                Case(F.coalesce(calibrated, F.lit(False)), F.when(d(f"mm__{key}") >= need, PASS).otherwise(FAIL), measured,
+                     evidence(X.fill(K.VALUE_HEIGHT, mm=shown))),
+                Case(ratio.isNull(), NV, K.NOTE_HEIGHT_NO_DATA),
+                Case(ratio < K.DISPROPORTION_RATIO, NV, X.fill(K.NOTE_HEIGHT_SMALL, label=F.lit(label), pct=pct)),
+                Case(None, NV, X.fill(K.NOTE_HEIGHT_FINE, label=F.lit(label), pct=pct))]
     return rule
 
 
-mrp_height = _height_rule("mrp_height", K.LABEL_MRP_HEIGHT)
-quantity_height = _height_rule("quantity_height", K.LABEL_QTY_HEIGHT)
-
-
-def grouping(d: Row) -> Column:
-    """Distances of at most seven box centres from their centroid, as shares of the diagonal."""
-    def centre(i, name, column):
-        f = d(column)
-        b = f["bounding_box"]
-        counted = f["found"] & b.isNotNull()
-        if column == "country_of_origin":
-            counted = counted & F.coalesce(d("is_imported"), F.lit(False))
-        return F.when(counted, F.struct(F.lit(name).alias("name"), (b["x"] + b["width"] / 2).alias("cx"),
-                                        (b["y"] + b["height"] / 2).alias("cy"), F.lit(i).alias("i")))
-    centres = F.array_compact(F.array(*[centre(i, n, c) for i, (n, c) in enumerate(K.GROUPED_DECLARATIONS)]))
-    n = F.size(centres)
-    w, h = d("image_width_px").cast("double"), d("image_height_px").cast("double")
-    diagonal = F.sqrt(w * w + h * h)
-
-    def mean(axis):
-        return F.aggregate(centres, F.lit(0.0), lambda acc, c: acc + c[axis]) / F.nullif(n, F.lit(0))
-    cx, cy = mean("cx"), mean("cy")
-    ranked = F.array_sort(F.transform(centres, lambda c: F.struct(
-        (F.sqrt((c["cx"] - cx) * (c["cx"] - cx) + (c["cy"] - cy) * (c["cy"] - cy))
-         / F.nullif(diagonal, F.lit(0.0))).alias("r"), c["i"].alias("i"), c["name"].alias("name"))))
-    last = F.try_element_at(ranked, F.lit(-1))
-    middle = F.try_element_at(ranked, (F.floor(n / 2) + 1).cast("int"))["r"]
-    worst, name = last["r"], last["name"]
+mrp_height = _height_rule("mrp", "mrp_height", K.LABEL_MRP_HEIGHT)
+quantity_height = _height_rule("qty", "quantity_height", K.LABEL_QTY_HEIGHT)
+
+
+def with_spread(ready: DataFrame) -> DataFrame:
+    """Adds g_n, g_worst, g_name, g_mid: distances of at most seven box centres from their centroid,
+    as shares of the photo's diagonal. One step per derived value, so nothing is evaluated twice."""
+    def centre(i, name, f):
+        cond = f"{f}.found AND {f}.bounding_box IS NOT NULL" + (" AND coalesce(is_imported, false)" if f == "country_of_origin" else "")
+        return (f"IF({cond}, named_struct('name', '{name}', 'cx', {f}.bounding_box.x + {f}.bounding_box.width / 2, "
+                f"'cy', {f}.bounding_box.y + {f}.bounding_box.height / 2, 'i', {i}), NULL)")
+    centres = ", ".join(centre(i, n, f) for i, (n, f) in enumerate(K.GROUPED_DECLARATIONS))
+    step = ready.withColumns({
+        "g_centres": F.expr(f"array_compact(array({centres}))"),
+        "g_diagonal": F.expr("sqrt(double(image_width_px) * image_width_px + double(image_height_px) * image_height_px)")})
+    step = step.withColumn("g_n", F.size("g_centres"))
+    step = step.withColumns({f"g_{a}": F.expr(f"aggregate(g_centres, 0D, (acc, c) -> acc + c.{a}) / nullif(g_n, 0)")
+                             for a in ("cx", "cy")})
+    step = step.withColumn("g_ranked", F.expr(
+        "array_sort(transform(g_centres, c -> named_struct('r', sqrt((c.cx - g_cx) * (c.cx - g_cx) + (c.cy - g_cy) * "
+        "(c.cy - g_cy)) / nullif(g_diagonal, 0D), 'i', c.i, 'name', c.name)))"))
+    step = step.withColumns({"g_last": F.expr("try_element_at(g_ranked, -1)"),
+                             "g_mid": F.expr("try_element_at(g_ranked, cast(floor(g_n / 2) + 1 AS INT)).r")})
+    step = step.withColumns({"g_worst": F.col("g_last.r"), "g_name": F.col("g_last.name")})
+    return step.withColumns({"g_pct": X.percent(F.col("g_worst")), "g_mid_pct": X.percent(F.col("g_mid"))})
+
+
+def grouping(d: Row) -> Cases:
+    n, worst, middle, name = d("g_n"), d("g_worst"), d("g_mid"), d("g_name")
+    pct, mid_pct, tail = d("g_pct"), d("g_mid_pct"), F.lit(K.NOTE_PROXY)
     far = (worst > K.GROUPING_FAIL_RATIO) & ((middle == 0) | (worst > middle * K.GROUPING_OUTLIER_MULTIPLE))
-    pct, mid_pct = X.percent(worst), X.percent(middle)
-    no_dims = F.coalesce(w, F.lit(0.0)) * F.coalesce(h, F.lit(0.0)) == 0
-    tail = F.lit(K.NOTE_PROXY)
-    return (F.when(n < 2, outcome(NV, F.concat(F.lit(K.NOTE_GROUP_FEW), tail)))
-            .when(no_dims, outcome(NV, F.concat(F.lit(K.NOTE_GROUP_NO_DIMS), tail)))
-            .when(worst <= K.GROUPING_PASS_RATIO,
-                  outcome(PASS, F.concat(X.fill(K.NOTE_GROUP_PASS, n=n, worst=pct), tail),
-                          evidence(X.fill(K.VALUE_GROUP_PASS, worst=pct))))
-            .when(far, outcome(FAIL, F.concat(X.fill(K.NOTE_GROUP_FAIL, name=name, worst=pct, median=mid_pct), tail),
-                               evidence(X.fill(K.VALUE_GROUP_FAIL, name=name, worst=pct))))
-            .otherwise(outcome(NV, F.concat(X.fill(K.NOTE_GROUP_UNSURE, name=name, worst=pct), tail))))
+    no_dims = (F.coalesce(d("image_width_px"), F.lit(0)) == 0) | (F.coalesce(d("image_height_px"), F.lit(0)) == 0)
+    return [Case(n < 2, NV, F.concat(F.lit(K.NOTE_GROUP_FEW), tail)),
+            Case(no_dims, NV, F.concat(F.lit(K.NOTE_GROUP_NO_DIMS), tail)),
+            Case(worst <= K.GROUPING_PASS_RATIO, PASS, F.concat(X.fill(K.NOTE_GROUP_PASS, n=n, worst=pct), tail),
+                 evidence(X.fill(K.VALUE_GROUP_PASS, worst=pct))),
+            Case(far, FAIL, F.concat(X.fill(K.NOTE_GROUP_FAIL, name=name, worst=pct, median=mid_pct), tail),
+                 evidence(X.fill(K.VALUE_GROUP_FAIL, name=name, worst=pct))),
+            Case(None, NV, F.concat(X.fill(K.NOTE_GROUP_UNSURE, name=name, worst=pct), tail))]
 
 
 def intruders(declarations: DataFrame, regions: DataFrame) -> DataFrame:
@@ -240,23 +251,23 @@ def with_clear_space(declarations: DataFrame, regions: DataFrame) -> DataFrame:
     return declarations.join(named, "scan_id", "left")
 
 
-def clear_space(d: Row) -> Column:
+def clear_space(d: Row) -> Cases:
     q = d("net_quantity_value")
     tail = F.lit(K.NOTE_NUMERAL_APPROX)
     proof = evidence(q["value"], box=q["bounding_box"])
-    return (F.when(~q["found"] | q["bounding_box"].isNull(), outcome(NV, F.concat(F.lit(K.NOTE_CLEAR_NO_QTY), tail)))
-            .when(q["bounding_box"]["height"] <= 0, outcome(NV, F.concat(F.lit(K.NOTE_CLEAR_BAD_HEIGHT), tail)))
-            .when(d("intruding").isNull(), outcome(PASS, F.concat(F.lit(K.NOTE_CLEAR_PASS), tail), proof))
-            .otherwise(outcome(FAIL, F.concat(X.fill(K.NOTE_CLEAR_FAIL, texts=d("intruding")), tail), proof)))
+    return [Case(~q["found"] | q["bounding_box"].isNull(), NV, F.concat(F.lit(K.NOTE_CLEAR_NO_QTY), tail)),
+            Case(q["bounding_box"]["height"] <= 0, NV, F.concat(F.lit(K.NOTE_CLEAR_BAD_HEIGHT), tail)),
+            Case(d("intruding").isNull(), PASS, F.concat(F.lit(K.NOTE_CLEAR_PASS), tail), proof),
+            Case(None, FAIL, F.concat(X.fill(K.NOTE_CLEAR_FAIL, texts=d("intruding")), tail), proof)]
 
 
 class Registry:
-    """Ordered rule set; every rule is ``name -> (reference, requirement, row -> outcome)``."""
+    """Ordered rule set; every rule is ``name -> (reference, requirement, row -> cases)``."""
 
     def __init__(self) -> None:
-        self._rules: OrderedDict[str, tuple[str, str, Callable[[Row], Column]]] = OrderedDict()
+        self._rules: OrderedDict[str, tuple[str, str, Callable[[Row], Cases]]] = OrderedDict()
 
-    def register(self, rule_id: str, rule: Callable[[Row], Column], reference: str = "", requirement: str = "") -> "Registry":
+    def register(self, rule_id: str, rule: Callable[[Row], Cases], reference: str = "", requirement: str = "") -> "Registry":
         self._rules[rule_id] = (reference, requirement, rule)
         return self
 
@@ -267,19 +278,29 @@ class Registry:
     def needs_clear_space(self) -> bool:
         return "R8-2" in self._rules
 
-    def result(self, rule_id: str, position: int) -> Column:
-        reference, requirement, rule = self._rules[rule_id]
-        o = rule(F.col)
+    def cases(self) -> dict[str, Cases]:
+        return {r: rule(F.col) for r, (_, _, rule) in self._rules.items()}
+
+    def result(self, position: int, rule_id: str, cases: Cases) -> Column:
+        reference, requirement, _ = self._rules[rule_id]
         null = F.lit(None).cast("string")
+
+        def chosen(part: str) -> Column:
+            branch, expr = F.col(f"branch_{position}"), None
+            for i, c in enumerate(cases[:-1]):
+                value = getattr(c, part)
+                expr = F.when(branch == i, value) if expr is None else expr.when(branch == i, value)
+            last = getattr(cases[-1], part)
+            return last if expr is None else expr.otherwise(last)
         return F.struct(
             F.lit(position).alias("rule_no"), F.lit(rule_id).alias("rule_id"),
-            F.coalesce(o["reference"], F.lit(reference)).alias("rule_reference"),
-            F.lit(requirement).alias("requirement_text"), o["status"].alias("status"),
-            o["evidence"].alias("evidence"), o["notes"].alias("notes"), null.alias("original_status"),
+            F.coalesce(chosen("reference"), F.lit(reference)).alias("rule_reference"),
+            F.lit(requirement).alias("requirement_text"), chosen("status").alias("status"),
+            chosen("proof").alias("evidence"), chosen("notes").alias("notes"), null.alias("original_status"),
             null.alias("verified_by"), null.alias("verified_at"), null.alias("verification_note"))
 
 
-BUILT_IN: dict[str, Callable[[Row], Column]] = {
+BUILT_IN: dict[str, Callable[[Row], Cases]] = {
     "R6-1": manufacturer, "R6-2": country, "R6-3": generic_name, "R6-4": net_quantity, "R6-5": mfg_date,
     "R6-6": best_before, "R6-7": mrp, "R6-9": consumer_care, "R6-10": unit_price, "R6-11": not_misleading,
     "R7-1": mrp_height, "R7-2": quantity_height, "R8-1": grouping, "R8-2": clear_space}
@@ -293,15 +314,38 @@ def default_registry(*only: str) -> Registry:
     return registry
 
 
-def ready_for_rules(declarations: DataFrame) -> DataFrame:
-    """Declarations with overrides applied, plus calibration columns."""
-    return L.calibrate(declarations)
+def with_facts(ready: DataFrame, registry: Registry) -> DataFrame:
+    """Shared intermediate columns, each computed once; unused ones are pruned by the optimizer."""
+    heights = [height_facts("mrp", "mrp_height"), height_facts("qty", "quantity_height")]
+    terms = F.array_join(X.misleading_terms(F.col("net_quantity_value.raw_text_span")), ", ")
+    out = ready.withColumns({**field_facts(), "misleading": terms, "need_mm": min_height_mm(F.col("pdp_area_cm2")),
+                             **heights[0][0], **heights[1][0]})
+    out = out.withColumns({**heights[0][1], **heights[1][1]})
+    return with_spread(out) if "R8-1" in registry.rule_ids else out
 
 
 def run_rules(ready: DataFrame, registry: Registry | None = None) -> DataFrame:
     """All registered rules in one pass: one input row becomes one row per rule.
 
-    ``ready`` must carry ``intruding`` (see :func:`with_clear_space`) when R8-2 is registered."""
+    Each rule first settles which of its branches applies, then its result is written from that
+    branch number. ``ready`` must carry ``intruding`` (see :func:`with_clear_space`) for R8-2."""
     registry = registry or default_registry()
-    results = F.array(*[registry.result(r, i) for i, r in enumerate(registry.rule_ids)])
-    return ready.select("scan_id", F.inline(results))
+    cases = registry.cases()
+
+    def branch(rule: Cases) -> Column:
+        expr = None
+        for i, c in enumerate(rule[:-1]):
+            expr = F.when(c.when, i) if expr is None else expr.when(c.when, i)
+        return F.lit(0) if expr is None else expr.otherwise(len(rule) - 1)
+    settled = with_facts(ready, registry).withColumns({f"branch_{i}": branch(cases[r]) for i, r in enumerate(cases)})
+    results = F.array(*[registry.result(i, r, cases[r]) for i, r in enumerate(cases)])
+    return settled.select("scan_id", F.inline(results))
+
+
+def presence_results(fields: DataFrame) -> DataFrame:
+    """Found-or-fail on long declaration rows: (scan_id, field_name, status, notes)."""
+    flagged = trust_flags(fields).withColumn("f", F.struct(*[x.name for x in EXTRACTED.fields]))
+    names = {"f": "f", "low__f": "low_confidence", "check__f": "needs_manual_check"}
+    missing, present = found_or_fail(lambda n: F.col(names[n]), "f")
+    return flagged.select("scan_id", "field_name", F.when(missing.when, missing.status).otherwise(present.status).alias("status"),
+                          F.when(missing.when, missing.notes).otherwise(present.notes).alias("notes"))

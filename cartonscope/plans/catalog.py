@@ -436,9 +436,7 @@ for _rule in K.RULES:
 @query("rul_0")
 def rul_0(spark, d):
     """Found-or-fail on every declaration of every label."""
-    f = F.struct(*[x.name for x in S.EXTRACTED.fields])
-    o = RU.found_or_fail(f)
-    return _merged_fields(spark, d).select("scan_id", "field_name", o["status"].alias("status"), o["notes"].alias("notes"))
+    return RU.presence_results(_merged_fields(spark, d))
 
 
 @query("r7_t")
@@ -681,12 +679,11 @@ def str_2(spark, d):
     return SS.read_records(spark, f"{root}/out").select("scan_id", "overall_status", "compliance_score", "font_size_tier")
 
 
-def shelf_rule(row) -> Column:
+def shelf_rule(row) -> RU.Cases:
     """A user's own rule: the label must carry a phone number unless the goods are liquid."""
     phone = row("consumer_care_phone")
-    return (F.when(F.coalesce(row("commodity_category"), F.lit("")) == "liquid", RU.outcome(K.NOT_APPLICABLE))
-            .when(phone["found"], RU.outcome(K.PASS, "", RU.field_evidence(phone)))
-            .otherwise(RU.outcome(K.FAIL, "No phone.")))
+    return [RU.Case(F.coalesce(row("commodity_category"), F.lit("")) == "liquid", K.NOT_APPLICABLE),
+            RU.Case(phone["found"], K.PASS, "", RU.field_evidence(phone)), RU.Case(None, K.FAIL, "No phone.")]
 
 
 @query("ext_1")

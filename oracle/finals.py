@@ -326,8 +326,6 @@ put("ext_1", f"""SELECT scan_id, p AS pass_count, f AS fail_count, n AS needs_ve
   SELECT scan_id, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (WHERE status = 'FAIL') AS f,
   count(*) FILTER (WHERE status = 'NEEDS_VERIFICATION') AS n, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS na
   FROM ext_results GROUP BY 1)""", "ext_results")
-block("anchors_x", "SELECT * FROM anchors UNION ALL SELECT * FROM (VALUES " + ", ".join(
-    "(" + ", ".join(q(v) for v in r) + ")" for r in EXTRA_TERMS) + ") x(grp, lang, term)", "anchors")
-S.anchor_blocks("p", "anchors_x", "_x")
+S.anchor_blocks("p", S.TERMS + [(g, t) for g, _, t in EXTRA_TERMS], "_x")
 put("ext_2", "SELECT scan_id, grp, region_idx FROM first_p_x", "first_p_x")
 put("flagship", f"SELECT status AS overall_status, count(*) AS n FROM ({RS.rule_select('R6-7')}) GROUP BY 1", "ready_g")

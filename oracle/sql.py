@@ -7,6 +7,8 @@ one window instead of bucket summaries, recursive walks instead of folds.
 
 from __future__ import annotations
 
+import re
+
 from cartonscope import constants as K
 from cartonscope.plans import label_templates as L
 
@@ -121,12 +123,12 @@ FROM (SELECT *, coalesce(round(p_retailprice * 100)::BIGINT, 9950) AS paise
       LEFT JOIN part ON p_partkey = pk LEFT JOIN supplier ON s_suppkey = sk
       LEFT JOIN nation ON n_nationkey = s_nationkey)""")
 block("template", "SELECT * FROM (VALUES " + ", ".join(
-    "(" + ", ".join(q(v) for v in r) + ")" for r in L.TEMPLATE) + ") t(case_no, region_idx, tpl, bx, by, width, height)")
+    "(" + ", ".join(q(v) for v in r) + ")" for r in L.TEMPLATE) + ") t(case_no, region_idx, tpl, tx, ty, width, height)")
 _slots = "tpl"
 for _s in ("name", "maker", "nation", "qty", "price", "month", "date", "phone", "digits5"):
     _slots = f"replace({_slots}, '{{{_s}}}', {_s})"
 block("regions_p", f"""
-SELECT scan_id, 'p' AS reader, region_idx, {_slots} AS text, (bx + scan_id % 7)::INT AS x, (by + scan_id % 5)::INT AS y,
+SELECT scan_id, 'p' AS reader, region_idx, {_slots} AS text, (tx + scan_id % 7)::INT AS x, (ty + scan_id % 5)::INT AS y,
   width, height, CASE WHEN case_no < 12 THEN 92.0::DOUBLE ELSE (40 + (scan_id * 17 + region_idx * 13) % 60)::DOUBLE END AS confidence,
   'eng' AS language FROM label_base JOIN template USING (case_no)""", "label_base", "template")
 block("regions_s", """
@@ -229,28 +231,36 @@ block("anchors", "SELECT * FROM (VALUES " + ", ".join(
     ") a(grp, lang, term)")
 
 
-def anchor_blocks(reader: str, terms: str = "anchors", suffix: str = "") -> None:
+TERMS = [(g, t) for g, langs in K.ANCHOR_TERMS.items() for ts in langs.values() for t in ts]
+
+
+def anchor_blocks(reader: str, terms: list[tuple[str, str]] = TERMS, suffix: str = "") -> None:
     """exact / fuzzy / stray hits per (text, term), then per box, for one reader's boxes."""
     s = f"_{reader}{suffix}"
-    esc = r"regexp_replace(term, '([.\\/₹|()+*?\[\]])', '\\\1', 'g')".replace("\\\\/", "/")
     block(f"texts{s}", f"SELECT DISTINCT text, lower(text) AS low FROM regions_{reader}", f"regions_{reader}")
+
     # a hit needs the term itself as a substring; the guards are then tested by pattern
-    block(f"exact{s}", f"""
-SELECT text, grp, term FROM texts{s}, {terms} WHERE contains(low, term)
-  AND regexp_matches(low, '(?:^|[^{BLOCKS}])' || {esc} || '(?:$|[^{BLOCKS}])')""", f"texts{s}", terms)
-    block(f"stray{s}", f"""
-SELECT text, grp, term FROM texts{s}, {terms} WHERE length(term) >= 5 AND contains(low, term) AND regexp_matches(low,
-  '(?:^|[^\\p{{L}}]|(?:^|[^\\p{{L}}])\\p{{L}})' || {esc} || '(?:$|[^\\p{{L}}]|\\p{{L}}(?:$|[^\\p{{L}}]))')""", f"texts{s}", terms)
+    def guarded(left, right, chosen):
+        return " UNION ALL ".join(
+            f"SELECT text, {q(g)} AS grp, {q(t)} AS term FROM texts{s} WHERE contains(low, {q(t)}) "
+            f"AND regexp_matches(low, {q(left + re.escape(t) + right)})" for g, t in chosen)
+    letter = r"\p{L}"
+    block(f"exact{s}", guarded(f"(?:^|[^{BLOCKS}])", f"(?:$|[^{BLOCKS}])", terms), f"texts{s}")
+    block(f"stray{s}", guarded(f"(?:^|[^{letter}]|(?:^|[^{letter}]){letter})", f"(?:$|[^{letter}]|{letter}(?:$|[^{letter}]))",
+                               [(g, t) for g, t in terms if len(t) >= 5]), f"texts{s}")
+    # one edit leaves a half of the term intact, which pins the window's start or its end
+    long = " UNION ALL ".join(
+        f"SELECT text, low, {q(g)} AS grp, {q(t)} AS term, {q(t[:len(t) // 2])} AS h1, {q(t[len(t) // 2:])} AS h2 FROM texts{s} "
+        f"WHERE contains(low, {q(t[:len(t) // 2])}) OR contains(low, {q(t[len(t) // 2:])})" for g, t in terms if len(t) >= 10)
     block(f"fuzzy{s}", f"""
 SELECT DISTINCT text, grp, term FROM (
-  SELECT text, grp, term, low, start, start + length(term) + d AS stop, d
-  FROM (SELECT text, low, grp, term, unnest(range(1, length(low) + 1)) AS start FROM texts{s}, {terms}
-        WHERE length(term) >= 10 AND (contains(low, substr(term, 1, length(term) // 2))
-              OR contains(low, substr(term, length(term) // 2 + 1)))), (VALUES (-1), (0), (1)) w(d))
-WHERE stop <= length(low) + 1
-  AND NOT (start > 1 AND regexp_matches(substr(low, start - 1, 1), '\\p{{L}}'))
-  AND NOT regexp_matches(substr(low, stop, 1), '\\p{{L}}')
-  AND levenshtein(substr(low, start, stop - start), term) <= 1""", f"texts{s}", terms)
+  SELECT *, start + length(term) + d AS stop FROM (
+    SELECT *, unnest(range(1, length(low) + 1)) AS start FROM ({long})), (VALUES (-1), (0), (1)) w(d))
+WHERE stop <= length(low) + 1 AND CASE
+  WHEN substr(low, start, length(h1)) <> h1 AND substr(low, stop - length(h2), length(h2)) <> h2 THEN false
+  ELSE levenshtein(substr(low, start, stop - start), term) <= 1
+    AND NOT (start > 1 AND regexp_matches(substr(low, start - 1, 1), '{letter}'))
+    AND NOT regexp_matches(substr(low, stop, 1), '{letter}') END""", f"texts{s}")
     block(f"tiers{s}", f"""
 SELECT text, grp, CASE min(k) WHEN 1 THEN 'exact' WHEN 2 THEN 'fuzzy' ELSE 'stray' END AS tier FROM (
   SELECT text, grp, 1 AS k FROM exact{s} UNION ALL SELECT text, grp, 2 FROM fuzzy{s} UNION ALL SELECT text, grp, 3 FROM stray{s})
