@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,12 +41,6 @@ def query(key: str):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder: in the cluster's shared checkpoint folder, local only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cartonscope-")
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 def stamp(c: str) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
@@ -99,7 +91,7 @@ def src_5(spark, d):
 
 @query("src_6")
 def src_6(spark, d):
-    root = scratch(spark)
+    root = T.scratch(spark)
     for name, df in (("scans", T.scans(spark, d)), ("products", T.products(spark, d)), ("users", T.users(spark, d)),
                      ("rule_verifications", V.audit_rows(V.accepted(_classified(spark, d))))):
         df.write.parquet(f"{root}/{name}")
@@ -115,7 +107,7 @@ def src_6(spark, d):
 
 @query("snk_1")
 def snk_1(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     results = T.rule_results(spark, d)
     scans = T.scans(spark, d).withColumnRenamed("id", "scan_id")
     sinks.write_scans(sinks.scan_records(results, scans, scans), path)
@@ -126,7 +118,7 @@ def snk_1(spark, d):
 
 @query("snk_2_rows")
 def snk_2_rows(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     sinks.write_report(sinks.report_rows(T.rule_results(spark, d)), path, "json")
     return spark.read.schema("scan_id bigint, rule_no int, rule string, requirement string, status string, "
                              "evidence_notes string").json(path)
@@ -139,7 +131,7 @@ def snk_2_summary(spark, d):
 
 @query("snk_3")
 def snk_3(spark, d):
-    path = scratch(spark)
+    path = T.scratch(spark)
     audit = V.audit_rows(V.accepted(_classified(spark, d)))
     sinks.append_audit(audit, path)
     sinks.append_audit(audit, path)
@@ -673,7 +665,7 @@ def str_1(spark, d):
 @query("str_2")
 def str_2(spark, d):
     from cartonscope.streaming import scans as SS
-    root = scratch(spark)
+    root = T.scratch(spark)
     SS.scan_records(spark, d).write.parquet(f"{root}/in")
     SS.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/state")
     return SS.read_records(spark, f"{root}/out").select("scan_id", "overall_status", "compliance_score", "font_size_tier")

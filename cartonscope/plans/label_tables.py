@@ -6,6 +6,10 @@ arithmetic, string slots and date formatting are used.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,24 @@ from cartonscope import constants as K
 from cartonscope.plans import label_templates as L
 
 RULE_IDS = list(K.RULES)
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder: in the cluster's shared checkpoint folder, local only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cartonscope-")
+    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table as it would lie in storage: written once per session, then read like any
+    other table, so queries start from a scan and not from the derivation."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN:
+        path = f"{scratch(spark)}/{name}"
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +46,10 @@ def _padded(c: Column, width: int) -> Column:
 
 
 def label_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "label_base", lambda: derive_base(spark, sf_dir))
+
+
+def derive_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: the slot values of its label."""
     first = (table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
              .agg(F.min("l_partkey").alias("p_partkey"), F.min("l_suppkey").alias("s_suppkey")))
@@ -55,6 +81,13 @@ SLOTS = ["name", "maker", "nation", "qty", "price", "month", "date", "phone", "d
 
 
 def label_regions(spark: SparkSession, sf_dir: str, reader: str = "p") -> DataFrame:
+    primary = written(spark, sf_dir, "regions_p", lambda: derive_regions(spark, sf_dir))
+    if reader == "p":
+        return primary
+    return written(spark, sf_dir, "regions_s", lambda: second_reading(primary))
+
+
+def derive_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text boxes of one reader. The template is a fixed table of under 200 rows."""
     template = spark.createDataFrame(
         L.TEMPLATE, "case_no int, region_idx int, text string, x int, y int, width int, height int")
@@ -65,11 +98,10 @@ def label_regions(spark: SparkSession, sf_dir: str, reader: str = "p") -> DataFr
         text = F.replace(text, F.lit("{" + slot + "}"), F.col(slot))
     confidence = F.when(F.col("case_no") < 12, F.lit(92.0)).otherwise(
         (40 + (scan * 17 + idx * 13) % 60).cast("double"))
-    regions = joined.select(
+    return joined.select(
         scan, F.lit("p").alias("reader"), idx, text.alias("text"),
         (F.col("x") + scan % 7).cast("int").alias("x"), (F.col("y") + scan % 5).cast("int").alias("y"),
         "width", "height", confidence.alias("confidence"), F.lit("eng").alias("language"))
-    return regions if reader == "p" else second_reading(regions)
 
 
 def second_reading(regions: DataFrame) -> DataFrame:
@@ -85,6 +117,10 @@ def second_reading(regions: DataFrame) -> DataFrame:
 
 
 def label_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "label_meta", lambda: derive_meta(spark, sf_dir))
+
+
+def derive_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue knowledge per label: category, tri-state flags, reference size, photo size."""
     rows = [(c, *L.CATALOGUE[c], *L.image_size(c)) for c in range(L.CASES)]
     cases = spark.createDataFrame(
@@ -122,6 +158,10 @@ def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reader_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(spark, sf_dir, "reader_answers", lambda: derive_answers(spark, sf_dir))
+
+
+def derive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON bodies as a label-reading model returns them, some malformed or not an object."""
     b = label_base(spark, sf_dir)
     scan = F.col("scan_id")

@@ -192,7 +192,7 @@ for rule in K.RULES:
 put("rul_0", " UNION ALL ".join(f"SELECT scan_id, {q(n)} AS field_name, status, notes FROM (SELECT scan_id, "
                                 f"{RS.pick(*RS.found_cases(n))} FROM merged)" for n in K.DECLARATION_FIELDS), "merged")
 put("r7_t", f"SELECT scan_id, round(area, 6) AS area, {RS.BANDS} AS min_mm FROM ready0 WHERE calibrated", "ready0")
-put("rul_all", "SELECT * FROM full_results", "full_results")
+put("rul_all", "SELECT * FROM entire_results", "entire_results")
 
 # ---- roll-ups --------------------------------------------------------------------------------
 put("agg_1", "SELECT scan_id, p AS pass_count, f AS fail_count, n AS needs_verification_count, na AS not_applicable_count FROM rolled", "rolled")
@@ -314,10 +314,10 @@ SELECT identity, rn, arrival_id, CASE WHEN len(live) < {LIMIT} THEN list_append(
 FROM (SELECT a.identity, a.rn, a.arrival_id, a.t, list_filter(g.kept, lambda k: k > a.t - {SPAN}) AS live
       FROM gate g JOIN queue a ON a.identity = g.identity AND a.rn = g.rn + 1)""", "queue")
 put("str_1", "SELECT arrival_id, identity, admitted, retry_after FROM gate", "gate")
-block("full_rolled", """SELECT scan_id, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (WHERE status = 'FAIL') AS f,
-  count(*) FILTER (WHERE status = 'NEEDS_VERIFICATION') AS n FROM full_results GROUP BY 1""", "full_results")
+block("entire_rolled", """SELECT scan_id, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (WHERE status = 'FAIL') AS f,
+  count(*) FILTER (WHERE status = 'NEEDS_VERIFICATION') AS n FROM entire_results GROUP BY 1""", "entire_results")
 put("str_2", f"""SELECT scan_id, {VERDICT} AS overall_status, {SCORE} AS compliance_score, font_size_tier
-FROM full_rolled JOIN full0 USING (scan_id)""", "full_rolled", "full0")
+FROM entire_rolled JOIN entire0 USING (scan_id)""", "entire_rolled", "entire0")
 block("ext_results", """SELECT scan_id, status FROM ready_results UNION ALL
 SELECT scan_id, CASE WHEN commodity_category = 'liquid' THEN 'NOT_APPLICABLE' WHEN consumer_care_phone_found THEN 'PASS' ELSE 'FAIL' END FROM ready0""",
       "ready_results", "ready0")

@@ -116,7 +116,7 @@ RULE["R8-2"] = pick([(f"NOT {n}_found OR {n}_x IS NULL", NV, f"{q(K.NOTE_CLEAR_N
                      ("intruding IS NULL", P, f"{q(K.NOTE_CLEAR_PASS)} || {AP}", own)],
                     (None, F, f"{fill(K.NOTE_CLEAR_FAIL, texts='intruding')} || {AP}", own))
 
-for src in ("ready", "full"):
+for src in ("ready", "entire"):
     centres = " UNION ALL ".join(
         f"SELECT scan_id, {i} AS i, {q(name)} AS name, {f}_x + {f}_w / 2.0 AS cx, {f}_y + {f}_h / 2.0 AS cy, "
         f"sqrt(image_width_px::DOUBLE * image_width_px + image_height_px::DOUBLE * image_height_px) AS diag "
@@ -138,5 +138,5 @@ def rule_select(rule_id: str, src: str = "ready_g") -> str:
     return f"SELECT scan_id, {q(rule_id)} AS rule_id, {ref} AS rule_reference, {RULE[rule_id]} FROM {src}"
 
 
-for src in ("ready", "full"):
+for src in ("ready", "entire"):
     block(f"{src}_results", " UNION ALL ".join(rule_select(r, f"{src}_g") for r in K.RULES), f"{src}_g")

@@ -462,4 +462,4 @@ SELECT scan_id, string_agg({quoted('text')}, ', ' ORDER BY region_idx) AS intrud
 
 
 ready_block("ready", "base_p")
-ready_block("full", "merged")
+ready_block("entire", "merged")
