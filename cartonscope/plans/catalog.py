@@ -354,10 +354,18 @@ def fld_14(spark, d):
 
 # ---- reconciliation --------------------------------------------------------------------------
 
+def _declared_table(spark, d, reader: str) -> DataFrame:
+    """One reader's declarations as a stored table: what reconciliation reads."""
+    def build():
+        if reader == "v":
+            return readers.parse_reader_answers(T.reader_answers(spark, d))
+        found = E.extract_declarations(T.label_regions(spark, d, reader))
+        return E.with_unread_scans(T.label_meta(spark, d), found) if reader == "p" else found
+    return T.written(spark, d, f"declared_{reader}", build)
+
+
 def _both_passes(spark, d):
-    meta = T.label_meta(spark, d)
-    return (E.with_unread_scans(meta, _declared(spark, d)),
-            E.extract_declarations(T.label_regions(spark, d, "s")))
+    return _declared_table(spark, d, "p"), _declared_table(spark, d, "s")
 
 
 def _passes(spark, d) -> DataFrame:
@@ -365,7 +373,7 @@ def _passes(spark, d) -> DataFrame:
 
 
 def _merged(spark, d) -> DataFrame:
-    return M.merge_vision(_passes(spark, d), readers.parse_reader_answers(T.reader_answers(spark, d)))
+    return M.merge_vision(_passes(spark, d), _declared_table(spark, d, "v"))
 
 
 @query("mrg_1")
@@ -404,8 +412,7 @@ def _ready(spark, d) -> DataFrame:
 
 
 def _full(spark, d) -> DataFrame:
-    return PL.declarations_of(T.label_regions(spark, d), T.label_meta(spark, d), T.label_regions(spark, d, "s"),
-                              T.reader_answers(spark, d))
+    return L.calibrate(E.apply_overrides(_merged(spark, d), T.label_meta(spark, d)))
 
 
 def _flat_results(results: DataFrame) -> DataFrame:
