@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +71,21 @@ def _remove(spark: SparkSession, path: str) -> None:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def partition_sums(df: DataFrame, sums_of: Callable[[Iterator[pa.RecordBatch]], np.ndarray], cuts: int = 16) -> np.ndarray | None:
+    """Sum over partitions of the vector that sums_of gives for each; its length must not grow with the data."""
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = np.array_split(sums_of(batches), cuts)
+        yield pa.RecordBatch.from_arrays([pa.array(range(cuts), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["cut", "part"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(p.as_py()) for p in group["part"]], axis=0)
+        return pa.table({"cut": group["cut"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "cut int, part binary"
+    found = df.mapInArrow(partial_sums, schema).groupBy("cut").applyInArrow(add, schema).collect()
+    return np.concatenate([np.frombuffer(r.part) for r in sorted(found, key=lambda r: r.cut)]) if found else None
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads every input bit over the word."""
     values = values ^ (values >> np.uint64(33))
@@ -115,6 +130,31 @@ class Words:
         value = self.values[data] * self.up[:len(data)]
         return mix(np.add.reduceat(value, starts) * self.down[starts]), starts, per_text
 
+    def last_bytes(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the last byte of every word stands."""
+        inside = self.is_word[data]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        edges = bounds[1:][bounds[:-1] < bounds[1:]] - 1
+        last[edges] = inside[edges]
+        return np.flatnonzero(last)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    if not len(values):
+        return b""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, dtype: type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype)
+    width = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(blob, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and len + 1 offsets into them; null is empty."""
