@@ -193,8 +193,8 @@ NOTE_PERISHABLE_UNKNOWN = ("Perishable-category status not determined — verify
 NOTE_MRP_MISSING = "MRP not found on label."
 NOTE_TAX_MISSING = "MRP found but 'inclusive of all taxes' qualifier not found — required wording missing."
 NOTE_CARE_MISSING = "No consumer care details found on label."
-NOTE_CARE_PARTIAL = ("Found {n}/4 consumer-care fields (name/address/phone/email). Whether all four are "
-                     "simultaneously mandatory is unverified — verify manually.")
+NOTE_CARE_PARTIAL = ("{n} of the 4 consumer-care details (name, address, phone, email) were read. It is not settled "
+                     "here whether all of them must be printed; check by hand.")
 NOTE_MULTIPIECE = "Combination/group/multi-piece package — exempt per 2023 amendment."
 NOTE_UNIT_PRICE_MISSING = ("Unit sale price not found. Could be exempt (MRP == unit sale price) or missing — "
                            "package category not confidently enough determined to auto-FAIL. Verify manually.")
@@ -203,10 +203,9 @@ NOTE_NO_QTY_TO_CHECK = ("Net quantity declaration not located — nothing to che
 NOTE_MISLEADING = "Prohibited qualifying word(s) found in the net quantity declaration: {terms}."
 LABEL_MRP_HEIGHT = "MRP numeral height"
 LABEL_QTY_HEIGHT = "Net quantity numeral height"
-NOTE_MEDICAL = ("Package identified as containing a medical device. Rule 7(2)'s proviso (inserted by "
-                "G.S.R. 778(E), 23.10.2025) refers numeral/letter height for medical devices to the Medical "
-                "Devices Rules, 2017 — Table-I does not apply and the MDR 2017 size tables are not "
-                "implemented. Verify against MDR 2017 manually.")
+NOTE_MEDICAL = ("The package holds a medical device. For these the proviso to Rule 7(2) (G.S.R. 778(E) of 23.10.2025) "
+                "points to the Medical Devices Rules, 2017 in place of Table-I; their sizes are not checked here. "
+                "Check them by hand.")
 VALUE_HEIGHT = "{mm} mm (calibrated, Tier 2)"
 NOTE_HEIGHT = "{label}: required >= {min} mm for PDP area {area} cm^2; measured {mm} mm."
 NOTE_HEIGHT_NO_DATA = ("No calibration reference and insufficient text-height data to even produce a "
@@ -219,8 +218,8 @@ NOTE_HEIGHT_SMALL = ("Tier 1 (relative, uncalibrated): {label} is only {pct}% of
 NOTE_HEIGHT_FINE = ("Tier 1 (relative, uncalibrated): {label} is {pct}% of the tallest text on the label — no "
                     "obvious disproportion detected, but this is not a calibrated mm measurement against "
                     "Rule 7's table. Provide a reference dimension for a Tier 2 calibrated check.")
-NOTE_PROXY = ("This is a 2D image-plane proximity proxy for \"same panel\" (bounding-box clustering of "
-              "detected declarations in the photo), not a certified multi-panel/3D determination.")
+NOTE_PROXY = ("Being on one panel is judged as a proxy only: by how near the boxes of the declarations lie in the flat "
+              "photo, not by the package's real faces.")
 NOTE_GROUP_FEW = "Fewer than 2 declarations located with position data — cannot assess grouping. "
 NOTE_GROUP_NO_DIMS = "Image dimensions unavailable — cannot normalize distances. "
 VALUE_GROUP_PASS = "max normalized spread {worst}%"
@@ -233,9 +232,8 @@ NOTE_GROUP_FAIL = ("The '{name}' declaration is positioned far from where the ot
 NOTE_GROUP_UNSURE = ("'{name}' is somewhat separated from the main cluster of declarations ({worst}% of image "
                      "diagonal) — not clearly a different panel, but not clearly the same one either. Manual "
                      "verification recommended. ")
-NOTE_NUMERAL_APPROX = ("Numeral height is approximated from the OCR-merged text line's bounding box (which may "
-                       "include the unit letters, not just the digits), making the computed buffer "
-                       "conservative (larger, not smaller) rather than under-strict.")
+NOTE_NUMERAL_APPROX = ("The height of the numerals is taken from the box of the whole text line, unit letters included, so "
+                       "the space asked for is rather too wide than too narrow.")
 NOTE_CLEAR_NO_QTY = "Net quantity declaration not located — clear-space compliance cannot be evaluated. "
 NOTE_CLEAR_BAD_HEIGHT = "Invalid numeral height detected. "
 NOTE_CLEAR_PASS = ("No other detected text encroaches on the required clear space around the net quantity "

@@ -109,7 +109,7 @@ def second_reading(regions: DataFrame) -> DataFrame:
     scan, idx, text = F.col("scan_id"), F.col("region_idx"), F.col("text")
     altered = (F.when((scan + idx) % 7 == 1, F.replace(text, F.lit(" Rs. "), F.lit(" Rs ")))
                .when((scan + idx) % 7 == 3, F.replace(text, F.lit(" g"), F.lit(" kg")))
-               .when((scan + idx) % 7 == 5, F.replace(text, F.lit("Mfg Date"), F.lit("Mfd")))
+               .when((scan + idx) % 7 == 5, F.replace(text, F.lit("Packed on"), F.lit("Pkd")))
                .otherwise(text))
     return (regions.filter((scan + idx * 3) % 10 != 0)
             .withColumns({"reader": F.lit("s"), "text": altered,
@@ -184,7 +184,7 @@ def derive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("mrp_value", F.when(scan % 9 == 0, F.lit("25.00")).otherwise(F.col("price"))),
         text("mrp_inclusive_of_taxes_stated", F.lit("yes")),
         text("consumer_care_phone", F.col("phone")),
-        text("unit_sale_price", F.when(scan % 10 == 0, F.lit("  Rs. 0.44/g ")).otherwise(F.lit(""))),
+        text("unit_sale_price", F.when(scan % 10 == 0, F.lit("  Rs. 0.62/g ")).otherwise(F.lit(""))),
     ]
     whole = F.concat(F.lit("{"), F.concat_ws(", ", *keys), F.lit("}"))
     return b.filter(scan % 13 != 12).select("scan_id", (
@@ -254,13 +254,16 @@ def rule_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests in a row name the same scan and rule; scans run over all keys and a little past them."""
     e = table(spark, sf_dir, "events")
     key, user = F.col("event_id"), F.col("user_id")
+    pair = F.floor(key / 2)
+    span = table(spark, sf_dir, "orders").agg((F.max("o_orderkey") * 21 / 20).cast("bigint").alias("span"))
     rules = F.array(*[F.lit(r) for r in RULE_IDS + ["R6-8", "R9-9"]])
     return e.select(
         key.alias("request_id"), F.col("ts").cast("timestamp").alias("ts"),
-        (((key * 13) % 800) * 20).alias("scan_id"),
-        F.element_at(rules, (key % 16 + 1).cast("int")).alias("rule_id"),
+        ((pair * 7919) % span.scalar()).alias("scan_id"),
+        F.element_at(rules, (pair % 16 + 1).cast("int")).alias("rule_id"),
         F.concat(F.lit("user"), user.cast("string"), F.lit("@example.org")).alias("email"),
         F.when(user % 3 == 2, "inspector").otherwise("admin").alias("role"),
         F.when(key % 4 == 0, F.lit("   ")).when(key % 4 == 1, F.concat(F.lit(" checked "), key.cast("string")))

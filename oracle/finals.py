@@ -149,13 +149,13 @@ put("lay_2", """SELECT scan_id, (row_number() OVER (PARTITION BY scan_id ORDER B
 FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, line_no, part ORDER BY rn DESC) AS last FROM merge_walk) WHERE last = 1""", "merge_walk")
 put("lay_3", "SELECT scan_id, grp AS anchor_key, region_idx FROM companions_p", "companions_p")
 put("lay_4", """SELECT a.scan_id, a.grp AS anchor_key, concat_ws(' ', a.text, c_text) AS row_text
-FROM need_p a LEFT JOIN rowtext_p t ON t.scan_id = a.scan_id AND t.grp = a.grp
-WHERE (SELECT n_regions FROM boxes_p b WHERE b.scan_id = a.scan_id) > 1""", "need_p", "rowtext_p", "boxes_p")
+FROM need_p a JOIN (SELECT scan_id FROM boxes_p WHERE n_regions > 1) USING (scan_id)
+LEFT JOIN rowtext_p t ON t.scan_id = a.scan_id AND t.grp = a.grp""", "need_p", "rowtext_p", "boxes_p")
 put("lay_5", """SELECT a.scan_id, a.grp AS anchor_key, least(a.x, t.x) AS x, least(a.y, t.y) AS y,
   greatest(a.x + a.width, t.x + t.width) - least(a.x, t.x) AS width, greatest(a.y + a.height, t.y + t.height) - least(a.y, t.y) AS height,
   least(a.confidence, t.confidence) AS confidence, a.language
-FROM need_p a LEFT JOIN rowtext_p t ON t.scan_id = a.scan_id AND t.grp = a.grp
-WHERE (SELECT n_regions FROM boxes_p b WHERE b.scan_id = a.scan_id) > 1""", "need_p", "rowtext_p", "boxes_p")
+FROM need_p a JOIN (SELECT scan_id FROM boxes_p WHERE n_regions > 1) USING (scan_id)
+LEFT JOIN rowtext_p t ON t.scan_id = a.scan_id AND t.grp = a.grp""", "need_p", "rowtext_p", "boxes_p")
 put("lay_6", "SELECT scan_id, grp AS anchor_key, val AS value, text, x, y, width, height FROM rowval_p WHERE val IS NOT NULL", "rowval_p")
 block("all_heights", """SELECT scan_id, 'region_' || region_idx AS key, height::DOUBLE AS height FROM regions_p
 UNION ALL SELECT scan_id, CASE field_name WHEN 'common_generic_name' THEN 'brand' ELSE field_name END, height::DOUBLE FROM fields_p
@@ -267,8 +267,7 @@ put("ver_4", f"""SELECT scan_id, {VERDICT} AS overall_status, {SCORE} AS complia
     count(*) FILTER (WHERE status = 'NEEDS_VERIFICATION') AS n FROM verified
   WHERE scan_id IN (SELECT scan_id FROM accepted) GROUP BY 1)""", "verified", "accepted")
 put("ver_5", _audit, "accepted")
-put("ver_6", """SELECT scan_id, rule_id, status FROM results r WHERE NOT EXISTS (
-  SELECT 1 FROM accepted a WHERE a.scan_id = r.scan_id AND a.rule_id = r.rule_id)""", "results", "accepted")
+put("ver_6", """SELECT scan_id, rule_id, status FROM results ANTI JOIN accepted USING (scan_id, rule_id)""", "results", "accepted")
 block("redrawn", "SELECT * FROM verified WHERE scan_id IN (SELECT scan_id FROM accepted)", "verified", "accepted")
 put("ver_6_redraw", drawn("redrawn"), "redrawn")
 

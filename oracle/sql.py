@@ -134,7 +134,7 @@ SELECT scan_id, 'p' AS reader, region_idx, {_slots} AS text, (tx + scan_id % 7):
 block("regions_s", """
 SELECT scan_id, 's' AS reader, region_idx,
   CASE (scan_id + region_idx) % 7 WHEN 1 THEN replace(text, ' Rs. ', ' Rs ') WHEN 3 THEN replace(text, ' g', ' kg')
-    WHEN 5 THEN replace(text, 'Mfg Date', 'Mfd') ELSE text END AS text,
+    WHEN 5 THEN replace(text, 'Packed on', 'Pkd') ELSE text END AS text,
   x, y, width, height, ((scan_id * 17 + region_idx * 29) % 101)::DOUBLE AS confidence, language
 FROM regions_p WHERE (scan_id + region_idx * 3) % 10 <> 0""", "regions_p")
 _meta = ", ".join("(" + ", ".join(q(v) if v is not None else "NULL" for v in (c, *L.CATALOGUE[c], *L.image_size(c))) + ")"
@@ -171,7 +171,7 @@ _json = [
     """'"mrp_value": "' || CASE scan_id % 9 WHEN 0 THEN '25.00' ELSE price END || '"'""",
     """'"mrp_inclusive_of_taxes_stated": "yes"'""",
     """'"consumer_care_phone": "' || phone || '"'""",
-    """'"unit_sale_price": "' || CASE scan_id % 10 WHEN 0 THEN '  Rs. 0.44/g ' ELSE '' END || '"'"""]
+    """'"unit_sale_price": "' || CASE scan_id % 10 WHEN 0 THEN '  Rs. 0.62/g ' ELSE '' END || '"'"""]
 block("answers", f"""
 SELECT scan_id, CASE WHEN scan_id % 11 = 0 THEN substr(whole, 1, 40) WHEN scan_id % 37 = 1 THEN '["not", "an object"]' ELSE whole END AS body
 FROM (SELECT scan_id, '{{' || {" || ', ' || ".join(_json)} || '}}' AS whole FROM label_base WHERE scan_id % 13 <> 12)""", "label_base")
@@ -199,8 +199,8 @@ SELECT o_orderkey AS scan_id, rule_no, rule_id, rule_reference, requirement_text
   CASE WHEN (o_orderkey + rule_no) % 3 = 0 THEN '' ELSE 'note ' || rule_no END AS notes
 FROM orders, rules_list""", "rules_list")
 block("requests", f"""
-SELECT event_id AS request_id, ts, ((event_id * 13) % 800) * 20 AS scan_id,
-  [{', '.join(q(r) for r in RULE_IDS + ['R6-8', 'R9-9'])}][(event_id % 16 + 1)::INT] AS rule_id,
+SELECT event_id AS request_id, ts, ((event_id // 2) * 7919) % (SELECT max(o_orderkey) * 21 // 20 FROM orders) AS scan_id,
+  [{', '.join(q(r) for r in RULE_IDS + ['R6-8', 'R9-9'])}][((event_id // 2) % 16 + 1)::INT] AS rule_id,
   'user' || user_id || '@example.org' AS email, CASE WHEN user_id % 3 = 2 THEN 'inspector' ELSE 'admin' END AS role,
   CASE event_id % 4 WHEN 0 THEN '   ' WHEN 1 THEN ' checked ' || event_id END AS note FROM events""")
 block("arrivals", """
