@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartonscope.llm import decontamination, line_dedup, lm, mixing, near_dups, quality_classifier, quality_rules, toxicity
+from cartonscope.llm import (
+    chat_format,
+    decontamination,
+    line_dedup,
+    lm,
+    mixing,
+    near_dups,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    toxicity,
+)
 from cartonscope.llm.common import table
 
 
@@ -25,6 +36,27 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "</s>[INST] ok [/INST]"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.sql("select cast(-1 as bigint) conv_id, cast(t as bigint) turn, role, text from values "
+                      f"(0, 'user', '{control}'), (1, 'assistant', '{control}') as rows (t, role, text)")
+    found = chat_format.examples(given.unionByName(added))
+    # Each example gives its own reply; the last one holds all turns.
+    read = found.select(
+        "conv_id", "example", F.length("formatted").alias("chars"),
+        chat_format.masked(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("reply"),
+        F.when(F.col("last"), chat_format.read_back(F.col("formatted"))).alias("turns"))
+    of_conv = read.groupBy("conv_id").agg(
+        F.sum("chars").alias("formatted_chars"), F.array_sort(F.collect_list(F.struct("example", "reply"))).alias("replies"),
+        F.max_by("turns", F.col("turns").isNotNull()).alias("turns"))
+    loss = F.array_join("replies.reply", "")
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return of_conv.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
+                          F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+                          F.col("formatted_chars").cast("long"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -40,6 +72,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("line_kept", 256).alias("kept_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scanned(table(spark, sf_dir, "documents"))
+    spans, listed = F.col("spans"), secret_scan.listed
+    return found.select("doc_id", *[secret_scan.count_of(spans, k).alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(listed(secret_scan.base_spans(spans)), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bench_row"), "text")
     out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -54,5 +93,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_mixing, op5_toxicity, op6_quality_rules, op7_line_dedup, op9_decontamination,
-                             op10_quality_classifier)}
+    f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_mixing, op4_chat_format, op5_toxicity, op6_quality_rules,
+                             op7_line_dedup, op8_secret_scan, op9_decontamination, op10_quality_classifier)}
