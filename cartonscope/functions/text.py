@@ -26,6 +26,23 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{P.SPACE}+|{P.SPACE}+\z", "")
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A double with so many decimals, rounded on its exact binary value: 2.675 prints as 2.67.
+
+    Only a scaled value that ends in exactly one half can be a tie; which side the true product lies on is
+    the rounding error of the scaling, got without error from the halves of the double."""
+    scale, x = F.lit(10.0 ** digits), F.abs(c.cast("double"))
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    part = product - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = (whole + up.cast("double")) / scale
+    return F.format_string(f"%.{digits}f", F.when(c < 0, -rounded).otherwise(rounded))
+
+
 def normalize_digits(c: Column) -> Column:
     return F.translate(c, K.INDIC_DIGITS, K.ASCII_DIGITS)
 

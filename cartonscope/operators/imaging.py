@@ -71,17 +71,13 @@ def upscale_plan(metrics: DataFrame, heights: DataFrame) -> DataFrame:
     return metrics.join(medians, "image_id", "left").withColumn("upscale_factor", factor)
 
 
-def _fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.bround(c, digits))
-
-
 def stages_applied(plan: DataFrame) -> DataFrame:
     """Names of the stages a photo goes through, from cap_factor, rotation and upscale_factor."""
     stages = F.array_compact(F.array(
-        F.when(F.col("cap_factor") < 1.0, F.concat(F.lit("resolution_cap(x"), _fixed(F.col("cap_factor"), 3), F.lit(")"))),
-        F.when(F.col("rotation") != 0.0, F.concat(F.lit("deskew("), _fixed(F.col("rotation"), 1), F.lit(" deg)"))),
+        F.when(F.col("cap_factor") < 1.0, F.concat(F.lit("resolution_cap(x"), X.fixed(F.col("cap_factor"), 3), F.lit(")"))),
+        F.when(F.col("rotation") != 0.0, F.concat(F.lit("deskew("), X.fixed(F.col("rotation"), 1), F.lit(" deg)"))),
         F.lit("clahe_contrast"),
-        F.when(F.col("upscale_factor") > 1.0, F.concat(F.lit("upscale(x"), _fixed(F.col("upscale_factor"), 2), F.lit(")")))))
+        F.when(F.col("upscale_factor") > 1.0, F.concat(F.lit("upscale(x"), X.fixed(F.col("upscale_factor"), 2), F.lit(")")))))
     return plan.withColumn("stages", stages)
 
 

@@ -51,8 +51,9 @@ def rederive_category(unit: Column, prior: Column) -> Column:
 
 
 def merge_passes(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Two passes over the same photos; flags, geometry and warnings stay the primary's."""
-    j = primary.join(_second_side(secondary), "scan_id", "left")
+    """Two passes over the same photos; flags, geometry and warnings stay the primary's, and are unknown
+    for a photo that only the second pass read."""
+    j = primary.join(_second_side(secondary), "scan_id", "full_outer")
     merged = j.withColumns({f: better_pass(F.col(f), F.col(f"s_{f}")) for f in K.DECLARATION_FIELDS})
     return (merged.withColumn("commodity_category",
                               rederive_category(F.col("net_quantity_unit.value"), F.col("commodity_category")))
@@ -60,7 +61,8 @@ def merge_passes(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 
 def merge_vision(ocr: DataFrame, vision: DataFrame) -> DataFrame:
-    j = ocr.join(_second_side(vision), "scan_id", "left")
+    """OCR and vision; a label that only one of them read keeps that reading."""
+    j = ocr.join(_second_side(vision), "scan_id", "full_outer")
     agree = j.withColumns({f"agree_{f}": X.values_agree(F.col(f"{f}.value"), F.col(f"s_{f}.value"))
                            for f in K.DECLARATION_FIELDS})
     merged = agree.withColumns({f: with_vision(F.col(f), F.col(f"s_{f}"), F.col(f"agree_{f}"))

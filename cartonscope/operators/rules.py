@@ -160,7 +160,7 @@ def height_facts(key: str, height_column: str) -> tuple[dict[str, Column], dict[
     px = F.col(height_column)
     return ({f"mm__{key}": px / F.nullif(F.col("px_per_mm"), F.lit(0.0)),
              f"ratio__{key}": px / F.nullif(F.col("ref_height"), F.lit(0.0))},
-            {f"shown__{key}": F.format_string("%.2f", F.bround(F.col(f"mm__{key}"), 2)),
+            {f"shown__{key}": X.fixed(F.col(f"mm__{key}"), 2),
              f"pct__{key}": X.percent(F.col(f"ratio__{key}"))})
 
 

@@ -47,21 +47,16 @@ def stamp(c: str) -> Column:
 
 # ---- sources and sinks -----------------------------------------------------------------------
 
-def raw_payloads(spark, d) -> DataFrame:
-    """One JSON body per scan holding both readers' boxes, as scan records store it."""
-    element = F.struct("region_idx", *[f.name for f in S.REGION_ELEMENT.fields])
-
-    def boxes(reader):
-        picked = F.array_sort(F.collect_list(F.when(F.col("reader") == reader, element)))
-        return F.transform(picked, lambda b: F.struct(*[b[f.name].alias(f.name) for f in S.REGION_ELEMENT.fields]))
-    both = T.label_regions(spark, d).unionByName(T.label_regions(spark, d, "s"))
-    return both.groupBy("scan_id").agg(F.to_json(F.create_map(
-        F.lit("psm3"), boxes("p"), F.lit("psm12"), boxes("s"))).alias("raw_ocr_json"))
+def both_readings(spark, d) -> DataFrame:
+    return T.label_regions(spark, d).unionByName(T.label_regions(spark, d, "s"))
 
 
 @query("src_1")
 def src_1(spark, d):
-    return readers.explode_payload(raw_payloads(spark, d)).select(
+    """Payloads as the register stores them, written and read back."""
+    path = T.scratch(spark)
+    sinks.raw_payloads(both_readings(spark, d)).write.parquet(path)
+    return readers.read_regions(spark, path, "payload").select(
         "scan_id", "reader", "region_idx", "text", "x", "y", "width", "height", "confidence")
 
 
@@ -108,12 +103,25 @@ def src_6(spark, d):
 @query("snk_1")
 def snk_1(spark, d):
     path = T.scratch(spark)
-    results = T.rule_results(spark, d)
+    sinks.write_scans(_register(spark, d), path)
+    back = readers.read_table(spark, path, S.SCANS)
+    boxes = readers.explode_payload(back.withColumnRenamed("id", "scan_id")).groupBy(F.col("scan_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("n_boxes"))
+    return back.join(boxes, "id", "left").select(
+        F.col("id").alias("scan_id"), "product_id", "inspector_email", "overall_status", "compliance_score", "ruleset_version",
+        "font_size_tier", F.size("rule_results").alias("n_results"), F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"),
+        F.get_json_object("declarations_json", "$.mrp_value.value").alias("mrp"), F.col("scan_date").cast("string").alias("scan_date"))
+
+
+def _register(spark, d) -> DataFrame:
+    """Register rows with everything a scan record holds."""
     scans = T.scans(spark, d).withColumnRenamed("id", "scan_id")
-    sinks.write_scans(sinks.scan_records(results, scans, scans), path)
-    back = spark.read.parquet(path)
-    return back.select("scan_id", "overall_status", "compliance_score", "ruleset_version", "font_size_tier",
-                       F.size("rule_results").alias("n_results"), F.col("scan_date").cast("string").alias("scan_date"))
+    declared = _declared_table(spark, d, "p").join(scans.select("scan_id", "font_size_tier"), "scan_id")
+    return sinks.scan_records(T.rule_results(spark, d), scans, declared, both_readings(spark, d))
+
+
+def _stored_register(spark, d) -> DataFrame:
+    return T.written(spark, d, "register", lambda: _register(spark, d)).select(*S.SCANS.names)
 
 
 @query("snk_2_rows")
@@ -129,12 +137,17 @@ def snk_2_summary(spark, d):
     return sinks.report_summary(T.rule_results(spark, d))
 
 
+@query("snk_2_header")
+def snk_2_header(spark, d):
+    return sinks.report_header(T.scans(spark, d), T.products(spark, d), _declared_table(spark, d, "p"))
+
+
 @query("snk_3")
 def snk_3(spark, d):
     path = T.scratch(spark)
     audit = V.audit_rows(V.accepted(_classified(spark, d)))
-    sinks.append_audit(audit, path)
-    sinks.append_audit(audit, path)
+    for load in (0, 1, 1):  # the second load is repeated, as after a failure
+        sinks.append_audit(audit, path, load)
     return spark.read.parquet(path).select("scan_id", "rule_id", "original_status", "new_status", "verified_by", "note",
                                            stamp("created_at"))
 
@@ -559,15 +572,19 @@ def qry_4(spark, d):
 
 @query("qry_5")
 def qry_5(spark, d):
-    return Q.list_scans(T.scans(spark, d), T.products(spark, d), q="ring", status=K.NEEDS_VERIFICATION,
+    return Q.list_scans(_stored_register(spark, d), T.products(spark, d), q="ring", status=K.NEEDS_VERIFICATION,
                         date_from="1996-01-01", date_to="1999-12-31").select(
         "id", "product_name", "overall_status", "compliance_score", stamp("created_at"), "inspector_email")
 
 
 @query("qry_6")
 def qry_6(spark, d):
-    return Q.get_scan(T.scans(spark, d), 777).select("id", "product_id", "overall_status", "compliance_score",
-                                                     "font_size_tier", stamp("created_at"))
+    """One scan in full: a row for each of its results."""
+    scan = Q.scan_detail(_stored_register(spark, d), T.products(spark, d), 777)
+    return scan.select("id", "product_name", "overall_status", "compliance_score", "font_size_tier", stamp("created_at"),
+                       F.get_json_object("declarations_json", "$.mrp_value.value").alias("mrp"), F.inline("rule_results")).select(
+        "id", "product_name", "overall_status", "compliance_score", "font_size_tier", "created_at", "mrp", "rule_no", "rule_id",
+        "status", F.col("evidence.extracted_value").alias("value"), "notes")
 
 
 @query("qry_7")
@@ -673,9 +690,10 @@ def str_1(spark, d):
 def str_2(spark, d):
     from cartonscope.streaming import scans as SS
     root = T.scratch(spark)
-    SS.scan_records(spark, d).write.parquet(f"{root}/in")
-    SS.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/state")
-    return SS.read_records(spark, f"{root}/out").select("scan_id", "overall_status", "compliance_score", "font_size_tier")
+    # two micro-batches whose days overlap: nothing may be lost as late
+    SS.scan_records(spark, d).repartition(2, F.xxhash64("scan_id")).write.parquet(f"{root}/in")
+    SS.run_available(spark, f"{root}/in", f"{root}/out", f"{root}/state", files_per_batch=1)
+    return SS.read_records(spark, f"{root}/out").select(F.col("id").alias("scan_id"), "overall_status", "compliance_score", "font_size_tier")
 
 
 def shelf_rule(row) -> RU.Cases:

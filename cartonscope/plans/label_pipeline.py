@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +11,14 @@ from cartonscope.operators import layout as L
 from cartonscope.operators import merging as M
 from cartonscope.operators import rollups as R
 from cartonscope.operators import rules as RU
+from cartonscope.session import shared_folder
 from cartonscope.sources import readers, sinks
 
 
 def staged(df: DataFrame) -> DataFrame:
     """Cuts the plan where its result has several readers, so the work below runs once and survives
-    the loss of executors. Uses the cluster's checkpoint folder; one is set only where none is."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cartonscope-"))
+    the loss of executors. Its files lie in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -53,10 +50,10 @@ def price_rule_shares(regions: DataFrame, meta: DataFrame) -> DataFrame:
 
 def scan_labels(scans: DataFrame, boxes: DataFrame, answers: DataFrame | None = None,
                 registry: RU.Registry | None = None) -> DataFrame:
-    """Register records of a batch of scans. ``scans`` carries the catalogue columns and created_at;
+    """Register rows of a batch of scans. ``scans`` carries the catalogue columns and created_at;
     ``boxes`` all readers' boxes with reader ``p`` (primary) and ``s``."""
     primary = boxes.filter("reader = 'p'")
     declarations = staged(declarations_of(primary, scans, boxes.filter("reader = 's'"), answers))
     registry = registry or RU.default_registry()
     ready = RU.with_clear_space(declarations, primary) if registry.needs_clear_space() else declarations
-    return sinks.scan_records(RU.run_rules(ready, registry), declarations, scans)
+    return sinks.scan_records(RU.run_rules(ready, registry), scans, declarations, boxes)

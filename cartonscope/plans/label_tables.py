@@ -6,7 +6,6 @@ arithmetic, string slots and date formatting are used.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,15 +14,15 @@ from pyspark.sql import functions as F
 
 from cartonscope import constants as K
 from cartonscope.plans import label_templates as L
+from cartonscope.session import shared_folder
 
 RULE_IDS = list(K.RULES)
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder: in the cluster's shared checkpoint folder, local only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="cartonscope-")
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+    """A fresh folder in the cluster's shared one."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:

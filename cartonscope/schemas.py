@@ -27,7 +27,7 @@ EVIDENCE = T.StructType([
     T.StructField("ocr_confidence", T.DoubleType()), T.StructField("language", T.StringType())])
 
 RULE_RESULT = T.StructType([
-    T.StructField("rule_id", T.StringType()), T.StructField("rule_reference", T.StringType()),
+    T.StructField("rule_no", T.IntegerType()), T.StructField("rule_id", T.StringType()), T.StructField("rule_reference", T.StringType()),
     T.StructField("requirement_text", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("evidence", EVIDENCE), T.StructField("notes", T.StringType()),
     T.StructField("original_status", T.StringType()), T.StructField("verified_by", T.StringType()),
@@ -43,7 +43,7 @@ SCANS = T.StructType([
     T.StructField("inspector_email", T.StringType()), T.StructField("image_path", T.StringType()),
     T.StructField("preprocessed_image_path", T.StringType()),
     T.StructField("annotated_image_path", T.StringType()),
-    T.StructField("declarations_json", T.StringType()),
+    T.StructField("raw_ocr_json", T.StringType()), T.StructField("declarations_json", T.StringType()),
     T.StructField("rule_results", T.ArrayType(RULE_RESULT)),
     T.StructField("ruleset_version", T.StringType()), T.StructField("overall_status", T.StringType()),
     T.StructField("compliance_score", T.DoubleType()), T.StructField("font_size_tier", T.StringType()),

@@ -1,4 +1,9 @@
-"""Session settings the operators rely on; deployment settings stay with the caller."""
+"""Session settings the operators rely on, and the folder that all machines of the cluster share."""
+
+from __future__ import annotations
+
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -14,3 +19,17 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Where it is unset a single machine gets a folder of its own;
+    on a cluster that is an error, since its machines would not see each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+        folder = tempfile.mkdtemp(prefix="cartonscope-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")

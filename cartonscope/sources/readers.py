@@ -84,5 +84,9 @@ def read_register(spark: SparkSession, path: str, fmt: str = "parquet", **option
     """The four register tables, from files or over JDBC (``url`` and friends as options)."""
     if fmt == "jdbc":
         return {name: spark.read.format("jdbc").options(dbtable=name, **options).load() for name in S.REGISTER}
-    return {name: spark.read.schema(schema).format(fmt).load(f"{path.rstrip('/')}/{name}")
-            for name, schema in S.REGISTER.items()}
+    return {name: read_table(spark, f"{path.rstrip('/')}/{name}", schema, fmt) for name, schema in S.REGISTER.items()}
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """One register table; partition columns that are not part of it are left out."""
+    return spark.read.schema(schema).format(fmt).load(path).select(*schema.names)

@@ -51,8 +51,14 @@ SELECT scan_id, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (W
   count(*) AS total FROM results GROUP BY 1""", "results")
 VERDICT = "CASE WHEN f > 0 THEN 'FAIL' WHEN n > 0 THEN 'NEEDS_VERIFICATION' ELSE 'PASS' END"
 SCORE = "round(100.0 * p / nullif(p + f + n, 0), 1)::DOUBLE"
-put("snk_1", f"""SELECT scan_id, {VERDICT} AS overall_status, {SCORE} AS compliance_score, ruleset_version, font_size_tier,
-  total::INT AS n_results, created_at::DATE::VARCHAR AS scan_date FROM rolled JOIN scans ON id = scan_id""", "rolled", "scans")
+put("snk_1", f"""SELECT scan_id, product_id, inspector_email, {VERDICT} AS overall_status, {SCORE} AS compliance_score, ruleset_version,
+  font_size_tier, total::INT AS n_results, coalesce(k, 0)::BIGINT AS n_boxes, mrp_value_val AS mrp, created_at::DATE::VARCHAR AS scan_date
+FROM rolled JOIN scans ON id = scan_id LEFT JOIN base_p USING (scan_id)
+LEFT JOIN (SELECT scan_id, count(*) AS k FROM (SELECT scan_id FROM regions_p UNION ALL SELECT scan_id FROM regions_s) GROUP BY 1) USING (scan_id)""",
+    "rolled", "scans", "base_p", "regions_p", "regions_s")
+put("snk_2_header", """SELECT s.id AS scan_id, coalesce(p.name, 'Unknown') AS product, coalesce(inspector_email, 'N/A') AS inspector,
+  font_size_tier, ruleset_version, image_quality_warning AS warning
+FROM scans s LEFT JOIN products p ON p.id = product_id LEFT JOIN base_p ON scan_id = s.id""", "scans", "products", "base_p")
 put("snk_2_rows", """SELECT scan_id, rule_no, rule_id || ' (' || rule_reference || ')' AS rule, requirement_text AS requirement, status,
   coalesce(nullif(concat_ws(' / ', nullif(extracted_value, ''), nullif(notes, '')), ''), '—') AS evidence_notes FROM results""", "results")
 put("snk_2_summary", f"""SELECT scan_id, {VERDICT} || ' — ' || p || ' PASS, ' || f || ' FAIL, ' || n || ' NEEDS VERIFICATION (' ||
@@ -241,9 +247,13 @@ put("qry_2", "SELECT id, product_name FROM named WHERE name ILIKE '%B_lT%'", "na
 put("qry_3", "SELECT id, overall_status FROM scans WHERE overall_status = 'FAIL'", "scans")
 put("qry_4", f"""SELECT id, {TS.format(c='created_at')} AS created_at FROM scans
 WHERE created_at >= TIMESTAMP '1997-03-01' AND created_at < TIMESTAMP '1997-07-01'""", "scans")
-put("qry_5", f"""SELECT id, product_name, overall_status, compliance_score, {TS.format(c='created_at')} AS created_at, inspector_email FROM named
-WHERE name ILIKE '%ring%' AND overall_status = 'NEEDS_VERIFICATION' AND created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '2000-01-01'""", "named")
-put("qry_6", f"""SELECT id, product_id, overall_status, compliance_score, font_size_tier, {TS.format(c='created_at')} AS created_at FROM scans WHERE id = 777""", "scans")
+block("registered", f"""SELECT s.* EXCLUDE (overall_status, compliance_score), {VERDICT} AS overall_status, {SCORE} AS compliance_score
+FROM named s JOIN rolled ON scan_id = s.id""", "named", "rolled")
+put("qry_5", f"""SELECT id, product_name, overall_status, compliance_score, {TS.format(c='created_at')} AS created_at, inspector_email FROM registered
+WHERE name ILIKE '%ring%' AND overall_status = 'NEEDS_VERIFICATION' AND created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '2000-01-01'""", "registered")
+put("qry_6", f"""SELECT id, product_name, overall_status, compliance_score, font_size_tier, {TS.format(c='created_at')} AS created_at,
+  mrp_value_val AS mrp, rule_no, rule_id, status, extracted_value AS value, notes
+FROM registered s JOIN results r ON r.scan_id = s.id JOIN base_p b ON b.scan_id = s.id WHERE s.id = 777""", "registered", "results", "base_p")
 put("qry_7", f"""SELECT id, product_name, {TS.format(c='created_at')} AS created_at, compliance_score FROM (
   SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS rn FROM named WHERE overall_status = 'FAIL') WHERE rn <= 10""", "named")
 put("qry_8", """SELECT scan_id, rule_id, status, (row_number() OVER (PARTITION BY scan_id ORDER BY
@@ -297,9 +307,9 @@ def upscale(src):
 
 
 put("img_4", f"SELECT image_id, median_height, round(upscale_factor, 6) AS upscale_factor FROM ({upscale('metrics')})", "metrics", "heights")
-put("img_5", f"""SELECT image_id, concat_ws(' > ', CASE WHEN cap_factor < 1 THEN 'resolution_cap(x' || printf('%.3f', round_even(cap_factor, 3)) || ')' END,
-  CASE WHEN abs(angle) >= 0.5 THEN 'deskew(' || printf('%.1f', round_even(angle, 1)) || ' deg)' END, 'clahe_contrast',
-  CASE WHEN upscale_factor > 1 THEN 'upscale(x' || printf('%.2f', round_even(upscale_factor, 2)) || ')' END) AS stages
+put("img_5", f"""SELECT image_id, concat_ws(' > ', CASE WHEN cap_factor < 1 THEN 'resolution_cap(x' || printf('%.3f', cap_factor) || ')' END,
+  CASE WHEN abs(angle) >= 0.5 THEN 'deskew(' || printf('%.1f', angle) || ' deg)' END, 'clahe_contrast',
+  CASE WHEN upscale_factor > 1 THEN 'upscale(x' || printf('%.2f', upscale_factor) || ')' END) AS stages
 FROM capped JOIN ({upscale('capped')}) USING (image_id) LEFT JOIN skew USING (image_id)""", "capped", "heights", "skew")
 
 # ---- streams and extension points ------------------------------------------------------------

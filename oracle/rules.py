@@ -86,7 +86,7 @@ BANDS = f"({BANDS})::DOUBLE"
 
 def height(h, label):
     mm = f"({h} / px_per_mm)"
-    shown = f"printf('%.2f', round_even({mm}, 2))"
+    shown = f"printf('%.2f', {mm})"
     pct = f"round_even({h} / ref_height * 100, 0)::INT"
     return pick([("is_medical_device", NA, q(K.NOTE_MEDICAL), NONE),
                  (f"calibrated AND {h} IS NOT NULL", f"CASE WHEN {mm} >= {BANDS} THEN {P} ELSE {F} END",
