@@ -147,15 +147,14 @@ class LabelModel:
         # A start that says what a vote means: toxic texts draw votes, others hardly any.
         on = np.array([np.full(VOTERS, 0.01), np.full(VOTERS, 0.5)])
         self.prior, self.weight = prior, np.ones(VOTERS)
-        for k in range(rounds):
+        for _ in range(rounds):
             self.on = on
             post = self.posterior_of(votes)
             mass = np.array([counts * (1 - post), counts * post])
             # A light pull to the start keeps voters that never vote defined.
             on = (mass @ votes + np.array([[0.02], [1.0]])) / (mass.sum(1, keepdims=True) + 2)
             self.prior = float(np.clip(mass[1].sum() / max(n, 1), 1e-3, 0.5))
-            if k % 10 == 9:
-                self.weight = self._discounts(votes, mass, on)
+            self.weight = self._discounts(votes, mass, on)
         self.on = on
 
     def _discounts(self, votes: np.ndarray, mass: np.ndarray, on: np.ndarray) -> np.ndarray:
