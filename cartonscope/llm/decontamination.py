@@ -228,5 +228,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10
     """docs without the rows that hold a benchmark window; other rows unchanged."""
     row = F.xxhash64("doc_id", "text")  # equal rows share their verdict
     dirty = contamination(docs.select(row.alias("bench_row"), "text"), benchmark, window).filter("n_hit > 0")
-    return (docs.withColumn("bench_row", row).join(dirty.select("bench_row").distinct(), "bench_row", "left_anti")
+    key = "bench_row"
+    while key in docs.columns:
+        key += "_"
+    return (docs.withColumn(key, row).join(dirty.select(F.col("bench_row").alias(key)).distinct(), key, "left_anti")
             .select(*docs.columns))
