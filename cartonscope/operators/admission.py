@@ -4,8 +4,9 @@
 The rule is a recurrence (whether an arrival counts depends on earlier decisions), so arrivals of one
 busy stretch are walked in time order. Stretches are cut wherever an identity is idle for a whole
 window, which empties its log; the cuts are found per time bucket plus a walk over bucket summaries,
-never by gathering an identity. The walk itself streams sorted Arrow batches and keeps ``limit``
-timestamps in memory, whatever the length of the stretch, jumping over runs of rejections.
+never by gathering an identity. A stretch of at most ``limit`` arrivals is admitted as a whole; only longer
+ones are walked. The walk streams sorted Arrow batches and keeps ``limit`` timestamps in memory, whatever
+the length of the stretch, jumping over runs of rejections.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartonscope import constants as K
+from cartonscope.session import ship
 
 MICROS = 1_000_000
 WINDOWS_PER_BUCKET = 64
@@ -76,20 +78,29 @@ def rate_limit(arrivals: DataFrame, window_seconds: int = K.ARRIVAL_WINDOW_SECON
                limit: int = K.ARRIVAL_LIMIT) -> DataFrame:
     """(arrival_id, identity, admitted, retry_after) for a whole arrival log."""
     span = window_seconds * MICROS
-    cut = busy_stretches(arrivals, window_seconds).select("identity", "stretch", "t", "arrival_id")
+    ship(arrivals.sparkSession)
+    cut = busy_stretches(arrivals, window_seconds).select(
+        "identity", F.xxhash64("identity", "stretch").alias("run"), "stretch", "t", "arrival_id")
     ordered = cut.repartition("identity", "stretch").sortWithinPartitions("identity", "stretch", "t", "arrival_id")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, kept = None, deque()
         for batch in batches:
-            parts = []
-            for key, run in batch.groupby(["identity", "stretch"], sort=False):
-                if key != current:
-                    current, kept = key, deque()
-                admitted, retry = decide(run["t"].to_numpy(), kept, span, limit)
-                parts.append(pd.DataFrame({"arrival_id": run["arrival_id"], "identity": run["identity"],
-                                           "admitted": admitted, "retry_after": retry}))
-            if parts:
-                yield pd.concat(parts)
+            run, t = batch["run"].to_numpy(), batch["t"].to_numpy()
+            if not len(run):
+                continue
+            starts = np.concatenate([[0], np.flatnonzero(run[1:] != run[:-1]) + 1])
+            ends = np.append(starts[1:], len(run))
+            # The first stretch may have begun in the last batch, and the last one may go on in the next.
+            long = ends - starts > limit
+            long[0] |= run[0] == current
+            long[-1] = True
+            admitted, retry = np.ones(len(run), bool), np.zeros(len(run), np.int64)
+            for a, b in zip(starts[long], ends[long]):
+                if run[a] != current:
+                    current, kept = run[a], deque()
+                admitted[a:b], retry[a:b] = decide(t[a:b], kept, span, limit)
+            yield pd.DataFrame({"arrival_id": batch["arrival_id"], "identity": batch["identity"],
+                                "admitted": admitted, "retry_after": retry})
 
     return ordered.mapInPandas(walk, "arrival_id bigint, identity string, admitted boolean, retry_after bigint")

@@ -1,7 +1,9 @@
 """Dictionary matching over text boxes.
 
-The dictionary is a small configuration table. It is compiled into literal patterns, so matching
-is a per-row expression: no join, no shuffle, nothing broadcast that grows with the data.
+The built-in dictionary, and any other that is configuration, is compiled into literal patterns, so
+matching is a per-row expression: no join, no shuffle, nothing broadcast that grows with the data. A
+dictionary of any size that is a table stays one: :func:`match_table` finds the terms that may stand in
+a text by an equi-join on short pieces of both, and puts only those to the same three tests.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from cartonscope import constants as K
 from cartonscope.functions import patterns as P
 
 GROUPS = list(K.ANCHOR_TERMS)
-MAX_DICTIONARY_TERMS = 5_000
 Dictionary = dict[str, list[str]]
 
 
@@ -33,14 +34,9 @@ def anchors_with(base: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def compile_dictionary(terms: DataFrame | None = None) -> Dictionary:
-    """group -> terms. A user-supplied dictionary is configuration: it is read to the driver once,
-    after a check that it really is of configuration size."""
-    rows = default_rows()
-    if terms is not None:
-        found = terms.select("grp", "lang", "term").limit(MAX_DICTIONARY_TERMS + 1).collect()
-        if len(found) > MAX_DICTIONARY_TERMS:
-            raise ValueError(f"anchor dictionary holds more than {MAX_DICTIONARY_TERMS} terms")
-        rows = [tuple(r) for r in found]
+    """group -> terms. These are configuration and become part of the plan; a dictionary that is data goes
+    to :func:`match_table` instead."""
+    rows = default_rows() if terms is None else [tuple(r) for r in terms.select("grp", "lang", "term").collect()]
     out: Dictionary = OrderedDict((g, []) for g in GROUPS)
     for grp, _, term in rows:
         out.setdefault(grp, []).append(term)
@@ -156,10 +152,60 @@ def anchor_match(regions: DataFrame, dictionary: Dictionary | None = None) -> Da
             .filter("tier IS NOT NULL"))
 
 
+#: Characters of the pieces on which texts and terms meet.
+PIECE = 5
+
+
+def _pieces(text: Column) -> Column:
+    """All distinct runs of 1 to PIECE characters."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n)))
+    return F.flatten(F.array(*[F.when(F.length(text) >= n, cut(n)).otherwise(F.array().cast("array<string>")) for n in range(1, PIECE + 1)]))
+
+
+def match_table(regions: DataFrame, terms: DataFrame) -> DataFrame:
+    """What :func:`anchor_match` finds, for a dictionary table (grp, term) of any size.
+
+    A term is looked up by its first PIECE characters, or by all of a shorter one; a term long enough for
+    the fuzzy test also by the start of its second half, since one wrong character leaves one half whole.
+    Equal texts are matched once."""
+    term, n = F.lower("term"), F.length(F.lower("term"))
+    start = lambda at: F.substr(term, at, F.lit(PIECE))
+    keyed = terms.select("grp", term.alias("term"), F.explode(F.when(
+        n >= K.FUZZY_MIN_TERM_LENGTH, F.array(start(F.lit(1)), start(F.floor(n / 2).cast("int") + 1)))
+        .otherwise(F.array(start(F.lit(1))))).alias("piece")).filter("length(piece) > 0")
+    low, folded = F.expr(LOWER.format(c="text")), F.expr(FOLDED.format(c="text"))
+    texts = regions.select("text").distinct().withColumns({"low": low, "folded": folded})
+    pieces = texts.select("text", "low", "folded", F.explode(F.array_distinct(F.concat(_pieces(F.col("low")), _pieces(F.col("folded"))))).alias("piece"))
+    tried = pieces.join(keyed, "piece").select("text", "low", "folded", "grp", "term").distinct()
+    quoted = F.concat(F.lit(r"\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    around = lambda before, after: F.concat(F.lit(before), quoted, F.lit(after))
+    exact = F.rlike("folded", around(f"(?<![{P.LETTER_BLOCKS}])", f"(?![{P.LETTER_BLOCKS}])"))
+    stray = F.rlike("low", around(r"(?<!\p{L}{2})", r"(?!\p{L}{2})"))
+    size = F.length("term")
+    letter = lambda at: F.substr(F.col("low"), at, F.lit(1)).rlike(r"\p{L}")
+
+    def near(at: Column, width: Column) -> Column:
+        free = ~((at > 1) & letter(at - 1)) & ~((at + width <= F.length("low")) & letter(at + width))
+        return free & (at + width - 1 <= F.length("low")) & (F.levenshtein(F.substr(F.col("low"), at, width), F.col("term"), 1) >= 0)
+
+    fuzzy = F.exists(F.sequence(F.lit(1), F.length("low")), lambda at: F.exists(
+        F.array(size - 1, size, size + 1), lambda width: near(at, width)))
+    rank = (F.when(exact, 0).when((size >= K.FUZZY_MIN_TERM_LENGTH) & fuzzy, 1)
+            .when((size >= K.STRAY_MIN_TERM_LENGTH) & stray, 2))
+    found = tried.select("text", "grp", rank.alias("rank")).groupBy("text", "grp").agg(F.min("rank").alias("rank")).filter("rank is not null")
+    tier = F.element_at(F.array(F.lit("exact"), F.lit("fuzzy"), F.lit("stray")), F.col("rank") + 1)
+    return regions.select("scan_id", "region_idx", "text").join(found.select("text", "grp", tier.alias("tier")), "text").select(
+        "scan_id", "region_idx", "text", "grp", "tier")
+
+
+def first_of_each(matches: DataFrame) -> DataFrame:
+    """First box in reading order of every group."""
+    return matches.groupBy("scan_id", "grp").agg(F.min("region_idx").alias("region_idx"))
+
+
 def first_anchor(regions: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:
     """First box in reading order that matches the group on any tier."""
-    return (anchor_match(regions, dictionary).groupBy("scan_id", "grp")
-            .agg(F.min("region_idx").alias("region_idx")))
+    return first_of_each(anchor_match(regions, dictionary))
 
 
 def unanchored(regions: DataFrame, matches: DataFrame) -> DataFrame:

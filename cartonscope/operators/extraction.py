@@ -54,6 +54,8 @@ def plain_phone(text: Column, shape: str) -> Column:
     return F.when(hit.isNotNull() & ~X.is_reference_number(text, shape), hit)
 
 
+#: Box numbers of a scan lie below this.
+BOX_NUMBERS = 1 << 31
 EXTRA_BOXES = ["name", "any_qty", "phone", "email", "tallest"]
 
 
@@ -65,8 +67,10 @@ def first_boxes(regions: DataFrame, dictionary: A.Dictionary | None = None) -> D
     """One row per scan: ``boxes`` holds the first box of every group, the tallest unmatched box,
     the first boxes with a quantity, phone and e-mail, and the tallest box; ``n_regions`` counts.
 
-    The boxes stay in one array column on purpose: every reader of this aggregate then needs the
-    same columns, so the row search and the field builders share one shuffle of it.
+    Which boxes these are is settled on plain numbers, whose minima combine in hash buffers on the map side;
+    the few boxes themselves are then taken from the scan's boxes, on the partitioning that the row search
+    uses too. They stay in one array column on purpose: every reader of this aggregate then needs the same
+    columns, so the row search and the field builders share one shuffle of it.
     """
     # the explicit null test is what the row search's join would infer; stated here, both readers
     # of this aggregate keep the same plan below it
@@ -78,14 +82,21 @@ def first_boxes(regions: DataFrame, dictionary: A.Dictionary | None = None) -> D
              "any_qty": X.fix_unit_noise(X.normalize_digits(text)).rlike(P.QUANTITY),
              "phone": text.rlike(P.PHONE_STRICT) & ~X.is_reference_number(text, P.PHONE_STRICT),
              "email": text.contains("@") & text.rlike(P.EMAIL)}
-    order = {**{n: F.when(t, idx) for n, t in tests.items()},
-             "name": F.when(none_hit, F.struct((-F.col("height")).alias("h"), idx.alias("i"))),
-             "tallest": F.struct((-F.col("height")).alias("h"), idx.alias("i"))}
-    prepared = flagged.select("scan_id", _region().alias("region"),
-                              *[order[n].alias(f"order_{n}") for n in box_names(dictionary)])
-    return prepared.groupBy("scan_id").agg(
-        F.array(*[F.min_by("region", f"order_{n}") for n in box_names(dictionary)]).alias("boxes"),
-        F.count(F.lit(1)).alias("n_regions"))
+    number = idx.cast("bigint")
+    tallest_first = number - F.col("height").cast("bigint") * BOX_NUMBERS
+    order = {**{n: F.when(t, number) for n, t in tests.items()},
+             "name": F.when(none_hit, tallest_first), "tallest": tallest_first}
+    names = box_names(dictionary)
+    firsts = flagged.select("scan_id", *[order[n].alias(f"order_{n}") for n in names]).groupBy("scan_id").agg(
+        *[F.min(f"order_{n}").alias(n) for n in names], F.count(F.lit(1)).alias("n_regions"))
+    picks = firsts.select("scan_id", "n_regions", F.array(*[F.pmod(F.col(n), F.lit(BOX_NUMBERS)).cast("int") for n in names]).alias("picks"))
+    own = (picks.join(regions.filter("scan_id IS NOT NULL").select("scan_id", *REGION_COLUMNS), "scan_id")
+           .filter(F.array_contains("picks", F.col("region_idx"))))
+    held = own.groupBy("scan_id").agg(F.first("n_regions").alias("n_regions"), F.first("picks").alias("picks"),
+                                      F.collect_list(_region()).alias("held"))
+    # at most one box per name is held; of boxes that share a number the smallest in all columns counts
+    boxes = F.transform("picks", lambda i: F.array_min(F.filter("held", lambda b: b["region_idx"] == i)))
+    return held.select("scan_id", boxes.alias("boxes"), "n_regions")
 
 
 def at(name: str, dictionary: A.Dictionary | None = None) -> Column:

@@ -686,6 +686,27 @@ def str_1(spark, d):
     return admission.rate_limit(T.arrivals(spark, d), **LIMITER)
 
 
+@query("str_1_default")
+def str_1_default(spark, d):
+    """With the default window and limit."""
+    return admission.rate_limit(T.arrivals(spark, d))
+
+
+@query("str_1_stream")
+def str_1_stream(spark, d):
+    """The same arrivals as a stream: in time order over four files, a micro-batch each."""
+    from cartonscope.streaming.limiter import rate_limit_stream
+    root = T.scratch(spark)
+    rows = T.arrivals(spark, d).filter("arrival_id is not null")
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    (rate_limit_stream(live, **LIMITER).writeStream.format("parquet").option("path", f"{root}/out")
+     .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("str_2")
 def str_2(spark, d):
     from cartonscope.streaming import scans as SS
@@ -716,8 +737,16 @@ EXTRA_TERMS = [("manufacturer", "eng", "imported by"), ("mrp", "eng", "batch no"
 @query("ext_2")
 def ext_2(spark, d):
     extra = spark.createDataFrame(EXTRA_TERMS, "grp string, lang string, term string")
-    dictionary = A.compile_dictionary(A.anchors_with(A.anchors(spark), extra))
-    return A.first_anchor(T.label_regions(spark, d), dictionary)
+    return A.first_of_each(A.match_table(T.label_regions(spark, d), A.anchors_with(A.anchors(spark), extra)))
+
+
+def store_inputs(spark: SparkSession, d: str) -> None:
+    """Writes every derived table that queries read as stored."""
+    configure(spark)
+    T.label_base(spark, d), T.label_meta(spark, d), T.reader_answers(spark, d)
+    both_readings(spark, d), _stored_register(spark, d)
+    for reader in ("p", "s", "v"):
+        _declared_table(spark, d, reader)
 
 
 @query("flagship")

@@ -323,6 +323,10 @@ SELECT identity, rn, arrival_id, CASE WHEN len(live) < {LIMIT} THEN list_append(
 FROM (SELECT a.identity, a.rn, a.arrival_id, a.t, list_filter(g.kept, lambda k: k > a.t - {SPAN}) AS live
       FROM gate g JOIN queue a ON a.identity = g.identity AND a.rn = g.rn + 1)""", "queue")
 put("str_1", "SELECT arrival_id, identity, admitted, retry_after FROM gate", "gate")
+block("gate_default", S.BLOCK["gate"][1].replace("gate", "gate_default").replace(str(SPAN), "60000000")
+      .replace(f"< {LIMIT} ", "< 12 ").replace(f"< {LIMIT},", "< 12,"), "queue")
+put("str_1_default", "SELECT arrival_id, identity, admitted, retry_after FROM gate_default", "gate_default")
+put("str_1_stream", "SELECT arrival_id, identity, admitted, retry_after FROM gate", "gate")
 block("entire_rolled", """SELECT scan_id, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (WHERE status = 'FAIL') AS f,
   count(*) FILTER (WHERE status = 'NEEDS_VERIFICATION') AS n FROM entire_results GROUP BY 1""", "entire_results")
 put("str_2", f"""SELECT scan_id, {VERDICT} AS overall_status, {SCORE} AS compliance_score, font_size_tier

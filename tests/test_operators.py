@@ -56,6 +56,28 @@ def test_compiled_tiers_equal_brute_force(spark):
             assert r[f"s{i}"] == stray(r.text, t), (r.text, t)
 
 
+def test_a_dictionary_table_of_any_size_finds_what_patterns_find(spark):
+    rng = random.Random(9)
+    rows = [(g, lang, t) for g, lang, t in A.default_rows()] + [(f"g{k % 50}", "eng", f"term {k} of many") for k in range(6_000)]
+    words = [t for _, _, t in rows[:60]] + [f"term {rng.randrange(6_000)} of many" for _ in range(200)]
+    texts = []
+    for w in words * 2:
+        t = list(w.upper() if rng.random() < 0.3 else w)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(t))
+            t[at:at + rng.randrange(2)] = [rng.choice("xé .1क")] * rng.randrange(2)
+        texts.append(rng.choice(["", "a", "ab", "1", "x "]) + "".join(t) + rng.choice(["", "c", "cd", " y"]))
+    regions = spark.createDataFrame([(k % 7, k, t) for k, t in enumerate([*texts, "", "ſK"])], "scan_id long, region_idx int, text string")
+    # as patterns only the terms that can matter here: the built-in ones, and the made ones near the texts
+    used = [r for r in rows if r[0] in A.GROUPS or any(r[2][:9] in t.lower() or r[2] in words for t in texts)]
+    want = A.anchor_match(regions, A.compile_dictionary(spark.createDataFrame(used, "grp string, lang string, term string")))
+    got = A.match_table(regions, spark.createDataFrame(rows, "grp string, lang string, term string"))
+    columns = ["scan_id", "region_idx", "grp", "tier"]
+    wanted = {tuple(r) for r in want.select(columns).collect()}
+    found = {tuple(r) for r in got.select(columns).collect()}
+    assert wanted <= found and all(r in wanted for r in found if r[2] in A.GROUPS)
+
+
 def naive_limiter(times, window, limit):
     kept, out = [], []
     for t in times:
@@ -90,11 +112,12 @@ def test_decide_reports_whole_seconds_until_free():
 
 def test_limiter_stream_equals_batch(spark, tmp_path):
     from cartonscope.streaming.limiter import rate_limit_stream
-    rows = [(i, 1_700_000_000 + i * 7 % 300 + i, "u") for i in range(60)]
+    rows = [(i, 1_700_000_000 + 11 * i, "u" if i % 3 else None) for i in range(60)]
     df = spark.createDataFrame(rows, "arrival_id bigint, s bigint, email string").select(
         "arrival_id", F.timestamp_seconds("s").alias("ts"), "email", F.lit(None).cast("string").alias("host"))
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    for k in range(3):  # three files, one after the other, a micro-batch each
+        df.filter(f"arrival_id div 20 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = (rate_limit_stream(stream, 60, 2).writeStream.format("memory").queryName("gate").outputMode("append")
          .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     q.awaitTermination()
