@@ -6,8 +6,13 @@
    share one of their K - T + 1 rarest, so only that prefix is posted (prefix merging), and a class
    with fewer than T pairs found elsewhere is skipped whole.
 3. In each posting list every class is tried against the list's most central member first. What is
-   linked becomes one component, and only pairs of different components are tried further: with
-   every list's centre, then with each other. Lists of a large group of copies thus cost a row per member.
+   linked becomes one component, and only pairs of different components are tried further. Lists of a
+   large group of copies thus cost a row per member.
+   For the classes still in lists of several components the same prefix merging is then done exactly, on
+   their full sets: shingles that no other of them holds cannot be in an intersection, which bounds how
+   large a partner can be, and a partner must share one of the rarest of the others. Far edits of one
+   text, which agree in many coordinates but reach the similarity with none, end here. What is left is
+   tried with its lists' centres, then with each other.
 4. A pair is kept when its sketches agree as those of similar texts do, the count of equal
    coordinates reaches T, and the full sets pass 100 * |A & B| >= 80 * |A | B|.
 5. Components come from repeated minimum labels with pointer jumping, in stored tables.
@@ -114,6 +119,32 @@ def _sets(n: int, bitmap: np.ndarray):
     return build
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for v, blob in zip(batch["v"].to_pylist(), batch["shingles"]):
+            shingles = _unpacked(blob.as_py())[1].view(np.int64)
+            n = len(shingles)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int64)), pa.array(np.full(n, n, np.int64)), pa.array(shingles)],
+                                             ["v", "n", "shingle"])
+
+
+def partner_bounds(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, n, most, prefix): size of each set, the largest size that a partner among these sets can have, and the
+    shingles of which a partner must hold one: place in the set, from its rarest shingle on, and shingle.
+
+    Shingles are ordered by how many of the sets hold them. Those that no other set holds come first and are
+    counted only. A pair that passes shares one of the first n - percent * n + 1 of each side."""
+    rows = sets.mapInArrow(_shingles, "v long, n long, shingle long")
+    held = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    shared = (rows.join(held, "shingle").groupBy("v", "n").agg(F.array_sort(F.collect_set(F.struct("held", "shingle"))).alias("shared"))
+              .withColumn("alone", F.col("n") - F.size("shared")))
+    most = F.floor(F.size("shared") * (100 + percent) / percent) - F.col("n")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")
+    prefix = F.transform(F.slice("shared", 1, F.greatest(length, F.lit(0)).cast("int")),
+                         lambda x, i: F.struct((i + F.col("alone")).alias("place"), x["shingle"].alias("shingle")))
+    return shared.select("v", "n", most.alias("most"), prefix.alias("prefix"))
+
+
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Signature and full set, as _sets wrote them."""
     packed = np.frombuffer(blob, np.uint8, offset=8 * K).reshape(-1, SET_BYTES)
@@ -163,9 +194,31 @@ class _Linking:
         self.tried: DataFrame | None = None
 
     def members(self) -> DataFrame:
+        """Posts with components; after the first round only those in lists of several components."""
         if self.labels is None:
             return self.posts.withColumn("comp", F.col("v"))
-        return self.posts.join(self.labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        found = self.posts.join(self.labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        lists = found.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        return stored(found.join(lists.select("key"), "key", "left_semi"), "open-posts")
+
+    def bound_partners(self) -> None:
+        """Keeps the posts that may still link, with the sizes that decide with which."""
+        open_posts = self.members()
+        open_sets = self.sets.join(open_posts.select("v").distinct(), "v", "left_semi")
+        bounds = partner_bounds(open_sets, self.percent).filter(F.col("most") * 100 >= F.col("n") * self.percent)
+        self.bounds = stored(bounds, "bounds")
+        self.posts = stored(open_posts.drop("comp").join(self.bounds.drop("prefix"), "v"), "open-posts")
+
+    def meet_on_shingles(self) -> DataFrame:
+        """Pairs of what is still open, of two components, that share a shingle of their prefixes early enough
+        for the rest of both sets to reach the similarity."""
+        members = self.members()
+        one = members.select("v", "sketch", "comp", "n", "most").distinct().join(self.bounds.select("v", "prefix"), "v")
+        lists = one.select("v", "sketch", "comp", "n", "most", F.inline("prefix"))
+        rest = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+        reach = rest * (100 + self.percent) >= (F.col("a.n") + F.col("b.n")) * self.percent
+        return lists.alias("a").join(lists.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.comp") < F.col("b.comp"))
+                                     & _may_link(lists.columns, "a.", "b.") & reach).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
     def try_pairs(self, pairs: DataFrame) -> None:
         """Confirms pairs (a, b) on full sets and merges the components of those that pass."""
@@ -173,6 +226,8 @@ class _Linking:
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        if self.labels is not None and pairs.isEmpty():
+            return
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         full = (pairs.join(self.sets.select(F.col("v").alias("b"), F.col("shingles").alias("set_b")), "b")
                 .join(self.sets.select(F.col("v").alias("a"), F.col("shingles").alias("set_a")), "a"))
@@ -193,8 +248,12 @@ class _Linking:
         self.labels = stored(moved.unionByName(fresh), "labels")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= SKETCH_BITS
+def _may_link(columns: list[str], a: str, b: str) -> Column:
+    """Members a and b are of two components, their sketches are alike, and their sizes fit where they are known."""
+    test = (F.col(f"{a}comp") != F.col(f"{b}comp")) & (F.bit_count(F.col(f"{a}sketch").bitwiseXOR(F.col(f"{b}sketch"))) <= SKETCH_BITS)
+    if "most" in columns:
+        test = test & (F.col(f"{a}n") <= F.col(f"{b}most")) & (F.col(f"{b}n") <= F.col(f"{a}most"))
+    return test
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
@@ -232,26 +291,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     linking = _Linking(posts, sets, percent)
 
     def centres(members: DataFrame) -> DataFrame:
-        lists = members.groupBy("key").agg(F.max(F.struct("pop", "v", "sketch", "comp")).alias("c"),
-                                           F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        return (members.join(lists, "key").filter((F.col("comp") != F.col("c.comp")) & _alike(F.col("sketch"), F.col("c.sketch")))
-                .select("v", F.col("c.pop").alias("pop"), F.col("c.v").alias("centre")))
+        """Each member with its list's centre, where they are of two components and may link. The centre is the
+        member in the largest lists; where sets are known, the one with the fewest shingles of its own, which is
+        nearest to the text that the others were made from."""
+        rank = F.col("most") / F.col("n") if "most" in members.columns else F.col("pop").cast("double")
+        fields = ["rank", "pop", *[c for c in members.columns if c not in ("pop", "key")]]
+        lists = members.withColumn("rank", rank).groupBy("key").agg(F.max(F.struct(*fields)).alias("c"))
+        return members.join(lists, "key").filter(_may_link(members.columns, "", "c.")).select(
+            "v", F.col("c.pop").alias("pop"), F.col("c.v").alias("centre"))
 
     best = centres(linking.members()).groupBy("v").agg(F.max(F.struct("pop", "centre"))["centre"].alias("centre"))
     linking.try_pairs(best.select(F.col("v").alias("a"), F.col("centre").alias("b")))
+    linking.bound_partners()
     linking.try_pairs(centres(linking.members()).select(F.col("v").alias("a"), F.col("centre").alias("b")))
-    members = linking.members()
-    lists = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    members = stored(members.join(lists, "key", "left_semi").select("key", "v", "sketch", "comp"), "open-posts")
-    a, b = members.alias("a"), members.alias("b")
-    linking.try_pairs(a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp"))
-                             & _alike(F.col("a.sketch"), F.col("b.sketch")))
-                      .select(F.col("a.v").alias("a"), F.col("b.v").alias("b")))
+    linking.try_pairs(linking.meet_on_shingles())
 
     of_class = (classes.join(linking.labels, "v", "left")
                 .select("set_1", "set_2", F.coalesce("comp", "v").alias("class_comp")))
     out = signed.select("doc_id", "n_shingles", "set_1", "set_2").join(of_class, ["set_1", "set_2"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.coalesce("class_comp", "doc_id")).otherwise(F.col("doc_id"))
+    comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_comp", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"),
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
