@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartonscope.session import shared_folder, ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes between words: ASCII whitespace, or all ASCII but letters and digits.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -36,21 +37,11 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes, so that a run of very long texts does not fill a worker."""
+    """Arrow batches are cut by bytes, so that a run of very long texts does not fill a worker; workers get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, as spark.checkpoint.dir names it; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and a lost executor loses nothing of it.
 
