@@ -9,22 +9,32 @@ Line dedup leaves a document whose lines are all common as an empty text; the ne
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartonscope.llm import decontamination, line_dedup, mixing, near_dups, quality_classifier
 from cartonscope.llm.common import stored, table
 
 
+READ = ("doc_id", "text", "source", "n_chars")
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that no stage reads under names that clash with nothing, and the way back."""
+    names = {c: c if c in READ else f"aside{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    plain, back = aside(docs)
+    out = line_dedup.dedup_lines(plain)
     changed = F.col("line_dropped") > 0
     return (out.withColumn("text", F.when(changed, F.col("line_kept")).otherwise(F.col("text")))
-            .withColumn("n_chars", F.when(changed, F.length("line_kept").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns))
+            .withColumn("n_chars", F.when(changed, F.length("line_kept").cast("long")).otherwise(F.col("n_chars"))).select(*back))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +46,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emitted(mixing.mix(docs)).select(*docs.columns, "copy")
+    plain, back = aside(docs)
+    return mixing.emitted(mixing.mix(plain)).select(*back, "copy")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates),
