@@ -264,6 +264,23 @@ def test_base_statistics_and_order_of_rules(docs, rows):
         assert passed.tolist() == np.flatnonzero(plain).tolist()
 
 
+def test_each_rule_alone_rejects_a_text_that_passes_the_base_rule(spark):
+    words = [f"{a}{b}xyz" for a in "abcdefghij" for b in "klmnopqrst"]
+    phrases = words[:22] * 2 + words[22:78]
+    texts = {
+        "symbols": "# ".join(words), "shouting": " ".join(words).upper(), "exclaiming": "!! ".join(words),
+        "digits": " ".join(w + "123" for w in words), "word_length": " ".join(w * 4 for w in words),
+        "repeated_lines": "\n".join(["same line here"] * 8 + [" ".join(words)]),
+        "one_word": " ".join(f"{w} the" for w in words), "repeated_phrases": " ".join(phrases)}
+    assert list(texts) == list(quality_rules.RULES)
+    found = quality_rules.Texts(*texts_of(__import__("pyarrow").array(list(texts.values()))))
+    rejects = {name: [t for t, bad in zip(texts, rule(found)) if bad] for name, rule in quality_rules.RULES.items()}
+    assert rejects == {name: [name] for name in texts}
+    docs = spark.createDataFrame([*enumerate(texts.values()), (99, " ".join(words))], "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.judge(docs).collect()}
+    assert got == {**dict.fromkeys(range(len(texts)), (False, False)), 99: (False, True)}
+
+
 def test_quality_rules_of_nothing(no_docs):
     assert quality_rules.judge(no_docs).collect() == []
 
