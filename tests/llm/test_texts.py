@@ -281,6 +281,24 @@ def test_each_rule_alone_rejects_a_text_that_passes_the_base_rule(spark):
     assert got == {**dict.fromkeys(range(len(texts)), (False, False)), 99: (False, True)}
 
 
+def test_rules_are_ordered_on_rows_of_all_files_that_pass_the_base_rule(spark, tmp_path):
+    words = [f"{a}{b}xyz" for a in "abcdefghij" for b in "klmnopqrst"]
+    kinds = {"plain": " ".join(words), "marked": " ".join(words) + " late", "short": "too short"}
+    for k, (name, n) in enumerate([("plain", 400), ("marked", 400), ("short", 400)]):
+        rows = spark.createDataFrame([(1000 * k + i, kinds[name]) for i in range(n)], "doc_id long, text string")
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    # All at like cost: one rejects nothing, one only what fails the base rule, one a source.
+    rules = {"nothing": lambda t: t.n_words < 0, "short": lambda t: t.n_words < 50, "late": lambda t: t.n_words > 100}
+    assert quality_rules.order_rules(docs, rules, 300)[0] == "late"
+    seen = Counter()
+    for batch in quality_rules._measure(iter(docs.toArrow().to_batches()), rules):
+        for row in batch.to_pylist():
+            seen[row["rule"]] += row["rejected"]
+            seen["texts"] += row["texts"]
+    assert seen == {"nothing": 0, "short": 0, "late": 400, "texts": 2400}
+
+
 def test_quality_rules_of_nothing(no_docs):
     assert quality_rules.judge(no_docs).collect() == []
 
