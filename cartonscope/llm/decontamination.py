@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from cartonscope.llm.common import NOT_ALNUM, Words, bounded_batches, shared_fol
 
 #: Characters of benchmark text in one block of queries; a block is broadcast.
 BLOCK_CHARS = 8 << 20
-SHARD = "bench_row array<long>, n_words array<int>, term binary, size binary, place binary"
+SHARD = "shard long, bench_row array<long>, n_words array<int>, term binary, size binary, place binary"
 
 
 def _terms(sorted_terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -41,10 +42,12 @@ def _terms(sorted_terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def index(docs: DataFrame, window: int, slop: int = 0, terms: np.ndarray | None = None, row_col: str = "bench_row") -> DataFrame:
     """Shards of postings. `terms`: the only ones that will be asked for; None keeps all.
 
-    Places count through the shard, with a gap after each document that no window spans."""
+    Places count through the shard, with a gap after each document that no window spans. A row of docs is known by
+    its shard's number, which holds from when the shards are written, and its place in the shard."""
     words = Words(NOT_ALNUM)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch["bench_row"].to_pylist()
             for at, end, data, bounds in slices(batch["text"]):
@@ -57,9 +60,10 @@ def index(docs: DataFrame, window: int, slop: int = 0, terms: np.ndarray | None
                 order = np.argsort(hashes, kind="stable")
                 term, size = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[at:end]], pa.list_(pa.int64())), pa.array([per_text.astype(np.int32)], pa.list_(pa.int32())),
+                    pa.array([shard]), pa.array([ids[at:end]], pa.list_(pa.int64())), pa.array([per_text.astype(np.int32)], pa.list_(pa.int32())),
                     *(pa.array([x.tobytes()], pa.binary()) for x in (term, size.astype(np.int32), place[order]))],
-                    ["bench_row", "n_words", "term", "size", "place"])
+                    ["shard", "bench_row", "n_words", "term", "size", "place"])
+                shard += 1
 
     return docs.select(F.col(row_col).alias("bench_row"), F.col("text")).mapInArrow(build, SHARD)
 
@@ -151,7 +155,7 @@ class WindowSearch:
         return window, start, exact
 
 
-FOUND = "bench_row long, n_words int, hit binary, items array<string>, near_items array<string>"
+FOUND = "shard long, at int, bench_row long, n_words int, hit binary, items array<string>, near_items array<string>"
 
 
 def _search(search: WindowSearch, window: int, slop: int):
@@ -175,9 +179,9 @@ def _search(search: WindowSearch, window: int, slop: int):
                     items[d] = [search.ids[i] for i in np.unique(search.number[w[e]])]
                     near[d] = [search.ids[i] for i in np.setdiff1d(search.number[w[~e]], search.number[w[e]])]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(n_words.astype(np.int32)), pa.array(hit, pa.binary()),
+                    pa.array([row["shard"]] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int32()), pa.array(ids, pa.int64()), pa.array(n_words.astype(np.int32)), pa.array(hit, pa.binary()),
                     pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string()))],
-                    ["bench_row", "n_words", "hit", "items", "near_items"])
+                    ["shard", "at", "bench_row", "n_words", "hit", "items", "near_items"])
     return run
 
 
@@ -192,8 +196,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
                   row_col: str = "bench_row") -> DataFrame:
     """bench_row, n_words, n_hit, items (ids of exactly matching items), near_items (those matching only
     within slop): one row per row of docs, which must have row_col (long) and text.
-
-    With several blocks the rows of a document meet by row_col, which must then be unique."""
+    row_col is only passed on: rows that share it, or have none, stay rows of their own however many blocks there are."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared_folder(spark)
@@ -218,9 +221,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop:
     if blocks == 1:
         return found.select("bench_row", F.col("n_words").cast("long"),
                             F.coalesce(F.length("hit") / 4, F.lit(0)).cast("long").alias("n_hit"), "items", "near_items")
-    merged = found.groupBy("bench_row").agg(
-        F.max("n_words").cast("long").alias("n_words"), F.collect_list("hit").alias("hits"),
-        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items"))
+    merged = found.groupBy("shard", "at").agg(
+        F.first("bench_row").alias("bench_row"), F.max("n_words").cast("long").alias("n_words"), F.collect_list("hit").alias("hits"),
+        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("near_items")).alias("near_items")).drop("shard", "at")
     return merged.mapInArrow(_union_of_hits, "bench_row long, n_words long, items array<string>, near_items array<string>, n_hit long")
 
 

@@ -233,6 +233,19 @@ def test_proximity_takes_moved_terms(spark):
     assert got == {0: (["1"], [], 10), 1: ([], ["1"], 0), 2: ([], [], 0), 3: ([], [], 0)}
 
 
+def test_repeated_and_null_ids_stay_rows_of_their_own_in_several_blocks(spark):
+    leak, other, clean = "alpha beta gamma delta", "one two three four", "nothing to see here at all"
+    rows = [(1, f"{leak} {other}"), (1, f"{leak} {other}"), (1, clean), (2, other), (2, leak), (None, leak), (None, clean), (None, None), (3, clean)]
+    docs = spark.createDataFrame(rows, "bench_row long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, t) for k, t in enumerate([leak, other, "five six seven eight", "nine ten eleven twelve"])],
+                                      "item_id long, text string")
+    want = Counter((i, len((t or "").split()), 4 * sum(x in (t or "") for x in (leak, other)),
+                    tuple(str(k) for k, x in enumerate((leak, other)) if x in (t or ""))) for i, t in rows)
+    for chars in (D.BLOCK_CHARS, 10):
+        got = D.contamination(docs, benchmark, block_chars=chars)
+        assert Counter((r.bench_row, r.n_words, r.n_hit, tuple(sorted(r["items"]))) for r in got.collect()) == want
+
+
 def test_decontamination_of_nothing(spark, no_docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b"), (2, None)], "bench_row long, text string")
