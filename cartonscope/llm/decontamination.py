@@ -5,8 +5,9 @@ them, the sorted list of places where it stands. Nothing of it is shuffled, and
 all documents is spread over all shards. The benchmark is the query set, taken in blocks of bounded
 size; each block goes to every shard. Terms of a window are taken from the rarest in the corpus:
 its list, moved back by the term's place in the window, gives the candidates, which every further
-list then thins out. With slop 0 what is left are exact phrases; with slop s, windows whose terms
-all stand within s places of where the phrase would have them (proximity matches).
+list then thins out. With slop 0 what is left are exact phrases; with slop s, windows for which there is
+a start such that all terms, the rarest too, stand within s places of where the phrase would have them
+(proximity matches): the rarest term's list is then moved to every start within s of it.
 
 Defined cases: null, empty or wordless texts have no words and no hits; items without words match
 nothing; an item shorter than a window is one window; repeated items, documents and ids each count
@@ -129,6 +130,14 @@ class WindowSearch:
         n = many[of].astype(np.int64)
         window = np.repeat(rows, n)
         start = place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[of], n)].astype(np.int64) - np.repeat(anchor, n)
+        if self.slop:
+            # Lists whose places are close give the same start more than once.
+            moves = np.arange(-self.slop, self.slop + 1)
+            window, start = np.repeat(window, len(moves)), (start[:, None] + moves).ravel()
+            order = np.lexsort((start, window))
+            window, start = window[order], start[order]
+            fresh = np.concatenate([[True], (window[1:] != window[:-1]) | (start[1:] != start[:-1])])
+            window, start = window[fresh], start[fresh]
         exact = np.ones(len(window), bool)
         # One sorted key of code and place answers whether any term stands at any place.
         code_of = np.full(len(term), -1)
@@ -138,7 +147,8 @@ class WindowSearch:
         known = np.repeat(code_of, size)
         keys = known[known >= 0] * span + place[known >= 0] + margin
         keys.sort()
-        for k in range(1, self.code.shape[1]):
+        # With slop the rarest term is looked up too, since only one of its starts has it in its exact place.
+        for k in range(0 if self.slop else 1, self.code.shape[1]):
             if not len(window):
                 break
             spot = self.order[window, k]

@@ -21,6 +21,9 @@ from cartonscope.llm import (
 )
 from cartonscope.llm.common import table
 
+#: Places by which a term may be moved in a proximity match.
+PROXIMITY_SLOP = 2
+
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
@@ -79,12 +82,21 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(listed(secret_scan.base_spans(spans)), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
-def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _contamination(spark: SparkSession, sf_dir: str, slop: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bench_row"), "text")
-    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), slop=slop)
     return out.select(F.col("bench_row").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join(F.array_sort(F.array_distinct("items")), ","), 256).alias("items_sha256"),
-                      (F.col("n_hit") > 0).alias("contaminated"))
+                      (F.col("n_hit") > 0).alias("contaminated"), "near_items")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _contamination(spark, sf_dir, 0).drop("near_items")
+
+
+def op9_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9_decontamination, which stay exact, and the items that match only within PROXIMITY_SLOP places."""
+    return _contamination(spark, sf_dir, PROXIMITY_SLOP)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +106,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_mixing, op4_chat_format, op5_toxicity, op6_quality_rules,
-                             op7_line_dedup, op8_secret_scan, op9_decontamination, op10_quality_classifier)}
+                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier)}

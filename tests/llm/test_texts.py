@@ -233,6 +233,59 @@ def test_proximity_takes_moved_terms(spark):
     assert got == {0: (["1"], [], 10), 1: ([], ["1"], 0), 2: ([], [], 0), 3: ([], [], 0)}
 
 
+def plain_matches(words, window, slop):
+    """Whether the window stands in words exactly, and whether with every term within slop of its place."""
+    at = {}
+    for k, w in enumerate(words):
+        at.setdefault(w, []).append(k)
+    exact = any(words[k:k + len(window)] == window for k in range(len(words)))
+    near = any(all(any(abs(p - k - d) <= slop for p in at.get(w, ())) for d, w in enumerate(window))
+               for k in range(-slop, len(words) + slop))
+    return exact, near
+
+
+@pytest.mark.parametrize("window, slop", [(4, 1), (5, 2), (10, 1)])
+def test_proximity_equals_a_plain_search(spark, window, slop):
+    import random
+    rng = random.Random(window)
+    vocabulary = [f"w{k}" for k in range(12)]
+    weights = [2 ** -k for k in range(12)]
+    items = {1: "alpha beta rare gamma delta eps zeta eta theta iota".split()[:window]}
+    items |= {k: rng.choices(vocabulary, weights, k=rng.randrange(1, window + 3)) for k in range(2, 12)}
+    middle = list(items[1])
+    middle[1], middle[2] = middle[2], middle[1]  # the rarest term of the corpus is the moved one
+    texts = [items[1], middle, *[items[1][:2]] * 3, *[items[1][3:]] * 3, []]
+    for _ in range(60):
+        words = list(rng.choice(list(items.values()))) + rng.choices(vocabulary, weights, k=rng.randrange(12))
+        for _ in range(rng.randrange(4)):
+            a = rng.randrange(len(words))
+            b = min(len(words) - 1, a + rng.randrange(3))
+            words[a], words[b] = words[b], words[a]
+        texts.append(words)
+    want = {}
+    for n, words in enumerate(texts):
+        found = {k: [plain_matches(words, item[j:j + min(window, len(item))], slop) for j in range(max(1, len(item) - window + 1))]
+                 for k, item in items.items()}
+        exact = {str(k) for k, f in found.items() if any(e for e, _ in f)}
+        want[n] = (sorted(exact), sorted({str(k) for k, f in found.items() if any(x for _, x in f)} - exact))
+    assert want[1] == ([], ["1"]) and sum(len(near) for _, near in want.values()) > 20
+    docs = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(texts)], "bench_row long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    hits = {r.bench_row: r.n_hit for r in D.contamination(docs, benchmark, window).collect()}
+    for chars in (D.BLOCK_CHARS, 100):
+        got = D.contamination(docs, benchmark, window, slop, chars).collect()
+        assert {r.bench_row: (sorted(r["items"]), sorted(r.near_items)) for r in got} == want
+        assert {r.bench_row: r.n_hit for r in got} == hits
+
+
+def test_proximity_query_keeps_the_exact_columns(spark):
+    from cartonscope.llm.queries import op9_decontamination, op9_proximity
+    from tests.llm.conftest import SF
+    exact, near = op9_decontamination(spark, SF), op9_proximity(spark, SF)
+    assert near.columns == [*exact.columns, "near_items"]
+    assert by_row(near, *exact.columns) == by_row(exact, *exact.columns)
+
+
 def test_repeated_and_null_ids_stay_rows_of_their_own_in_several_blocks(spark):
     leak, other, clean = "alpha beta gamma delta", "one two three four", "nothing to see here at all"
     rows = [(1, f"{leak} {other}"), (1, f"{leak} {other}"), (1, clean), (2, other), (2, leak), (None, leak), (None, clean), (None, None), (3, clean)]
