@@ -3,7 +3,9 @@
 Base kinds (assign, access, hex) are reported wherever they match. Three weak kinds say little alone:
 a long mixed token (`key`), an account or user name given as a setting (`ident`), and an address of a
 service (`endpoint`). All spans are put on one line per text, and each is joined with the spans that
-start within `scope` code points of its own start, by a range frame over the starts. A weak key is
+it overlaps or that lie within `scope` code points of it, from the end of the one to the start of the
+other, however long they are: frames over the line carry, for each sort of part, the furthest end of
+those that start no later and the nearest start of those that start no earlier. A weak key is
 reported only next to an identifier or an endpoint, an identifier only next to a secret, an endpoint
 only next to both. Weak spans that overlap a base span add nothing and go.
 
@@ -34,7 +36,7 @@ WEAK = {
 }
 KINDS = list(BASE) + list(WEAK)
 SECRETS, IDENTIFIERS, ENDPOINTS = ("assign", "hex", "key"), ("access", "ident"), ("endpoint",)
-#: Code points between the starts of parts of one credential.
+#: Code points at most between the end of one part of a credential and the start of the next.
 SCOPE = 240
 
 
@@ -68,15 +70,17 @@ def scanned(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), text_col: s
     least = F.element_at(F.array(*[F.lit((BASE | WEAK)[k][2]) for k in KINDS]), F.col("kind") + 1)
     spans = spans.filter(F.col("counted") >= least).select("secret_key", "kind", "start", "end")
 
-    line = Window.partitionBy("secret_key").orderBy("start")
-    scope_of = line.rangeBetween(-scope, scope)
+    # Both frames grow from one end of the line, so that a text with very many spans stays linear.
+    so_far = Window.partitionBy("secret_key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    from_here = Window.partitionBy("secret_key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     is_base = F.col("kind") < len(BASE)
-    near = lambda kinds: F.sum(F.col("kind").isin([KINDS.index(k) for k in kinds]).cast("int")).over(scope_of) > 0
-    # Base spans that start no later than this one, and the next one to start.
-    covered = F.coalesce(F.max(F.when(is_base, F.col("end"))).over(line.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start"), F.lit(False))
-    cut = F.coalesce(F.min(F.when(is_base, F.col("start"))).over(line.rangeBetween(0, Window.unboundedFollowing)) < F.col("end"), F.lit(False))
-    spans = (spans.withColumn("secret", near(SECRETS)).withColumn("identifier", near(IDENTIFIERS))
-             .withColumn("address", near(ENDPOINTS)).withColumn("overlaps", covered | cut))
+    parts = {"secret": SECRETS, "identifier": IDENTIFIERS, "address": ENDPOINTS}
+    sort = {"overlaps": is_base} | {k: F.col("kind").isin([KINDS.index(p) for p in kinds]) for k, kinds in parts.items()}
+    carried = spans.select("*", *[F.max(F.when(test, F.col("end"))).over(so_far).alias(f"{k}_end") for k, test in sort.items()],
+                           *[F.min(F.when(test, F.col("start"))).over(from_here).alias(f"{k}_start") for k, test in sort.items()])
+    near = lambda k: F.coalesce((F.col("start") - F.col(f"{k}_end") <= scope) | (F.col(f"{k}_start") - F.col("end") <= scope), F.lit(False))
+    covered = F.coalesce((F.col("overlaps_end") > F.col("start")) | (F.col("overlaps_start") < F.col("end")), F.lit(False))
+    spans = carried.select("secret_key", "kind", "start", "end", *[near(k).alias(k) for k in parts], covered.alias("overlaps"))
     number = lambda k: F.col("kind") == KINDS.index(k)
     linked = (F.when(number("key"), F.col("identifier") | F.col("address")).when(number("ident"), F.col("secret"))
               .otherwise(F.col("secret") & F.col("identifier")))
