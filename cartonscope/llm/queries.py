@@ -17,6 +17,7 @@ from cartonscope.llm import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    token_files,
     toxicity,
 )
 from cartonscope.llm.common import table
@@ -25,6 +26,12 @@ from cartonscope.llm.common import table
 PROXIMITY_SLOP = 2
 
 
+def vocabulary(name: str) -> str:
+    """A file of the installed public tokenizers; machines of a cluster have it at the same place."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -104,6 +111,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    manifest = token_files.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=2, by_word=True)
+    return token_files.documents(manifest, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_mixing, op4_chat_format, op5_toxicity, op6_quality_rules,
-                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier)}
+                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier, op11_token_files)}
