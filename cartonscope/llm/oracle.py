@@ -115,6 +115,53 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM worded LEFT JOIN hits USING (r) LEFT JOIN named USING (r)"""
 
+def _hashed(n_chars: str) -> str:
+    """Digest of a row; fields are written as length, colon, value."""
+    def field(c: str) -> str:
+        return f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: crc32, bit by bit: a character is xored in, then eight shifts follow, each written as -1.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({c}, ''),
+    lambda ch: list_prepend(ascii(ch)::BIGINT, list_transform(range(8), lambda z: -1::BIGINT))))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+
+def _levels(name: str, base: str) -> str:
+    """All levels of the trees over base (g, pos, n, node)."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, pos, n, node FROM {base}
+  UNION ALL SELECT g, lvl + 1, pos // 2, (n + 1) // 2, sha256(node || coalesce(beside, ''))
+  FROM (SELECT *, lead(node) OVER (PARTITION BY g ORDER BY pos) AS beside FROM {name} WHERE n > 1) WHERE pos % 2 = 0)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_hashed('n_chars')} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC.format(c="coalesce(doc_id, 0)::VARCHAR")} % 7 = 0 THEN {_hashed('n_chars + 1')} ELSE {_hashed('n_chars')} END AS seen
+  FROM documents),
+langs AS MATERIALIZED (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT lang FROM leaves)),
+placed AS MATERIALIZED (SELECT r, doc_id, leaf, leaf AS node, seen, g, count(*) OVER (PARTITION BY g) AS n,
+  row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves JOIN langs ON leaves.lang IS NOT DISTINCT FROM langs.lang),
+{_levels('low', 'placed')},
+subroots AS MATERIALIZED (SELECT 0 AS g, g AS pos, count(*) OVER () AS n, node FROM low WHERE n = 1),
+{_levels('high', 'subroots')},
+tree AS MATERIALIZED (
+  SELECT 0 AS part, g, lvl, pos, n, node FROM low UNION ALL SELECT 1, g, lvl, pos, n, node FROM high),
+climb AS (
+  SELECT r, 0 AS part, g, 0 AS lvl, pos, n, seen AS node, '' AS proof FROM placed
+  UNION ALL
+  SELECT r, c.part + d.up, CASE WHEN d.up = 1 THEN 0 ELSE c.g END, CASE WHEN d.up = 1 THEN 0 ELSE c.lvl + 1 END,
+    CASE WHEN d.up = 1 THEN c.g ELSE c.pos // 2 END, CASE WHEN d.up = 1 THEN d.langs ELSE (c.n + 1) // 2 END,
+    CASE WHEN d.up = 1 THEN c.node WHEN c.pos % 2 = 1 THEN sha256(t.node || c.node) ELSE sha256(c.node || coalesce(t.node, '')) END,
+    c.proof || CASE WHEN d.up = 1 THEN '' ELSE coalesce(t.node, '') END
+  FROM climb c JOIN (SELECT up, (SELECT count(*) FROM langs) AS langs FROM (VALUES (0), (1)) v(up)) d ON d.up = CASE WHEN c.n = 1 THEN 1 ELSE 0 END
+  LEFT JOIN tree t ON t.part = c.part AND t.g = c.g AND t.lvl = c.lvl AND t.pos = xor(c.pos, 1)
+  WHERE NOT (c.part = 1 AND c.n = 1))
+SELECT p.doc_id, p.leaf, s.node AS subroot, h.node AS root, sha256(c.proof) AS proof_sha256, c.node AS folded_root, c.node = h.node AS verified
+FROM climb c JOIN placed p USING (r) JOIN subroots s ON s.pos = p.g, (SELECT node FROM high WHERE n = 1) h
+WHERE c.part = 1 AND c.n = 1"""
+
 ORACLE: dict[str, str] = {
     "op2_near_duplicates": NEAR, "op4_chat_format": CHAT, "op6_quality_rules": RULES, "op7_line_dedup": LINES,
-    "op9_decontamination": LEAKS}
+    "op9_decontamination": LEAKS, "op12_merkle_manifest": MERKLE}

@@ -12,6 +12,7 @@ from cartonscope.llm import (
     decontamination,
     line_dedup,
     lm,
+    merkle,
     mixing,
     near_dups,
     quality_classifier,
@@ -117,6 +118,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(manifest, folder)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0  # null for a null id, which is left as it is
+    tampered = merkle.leaf([F.col("n_chars") + F.when(hit, 1).otherwise(0) if i == 3 else c for i, c in enumerate(columns)])
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), keep=[F.when(hit, tampered)])
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("kept0", "leaf"), F.col("path")))
+    return rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_mixing, op4_chat_format, op5_toxicity, op6_quality_rules,
-                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier, op11_token_files)}
+                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier, op11_token_files, op12_merkle_manifest)}
