@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartonscope.llm import (
+    alignment,
     chat_format,
     decontamination,
     line_dedup,
@@ -128,6 +129,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_lm_scoring, op2_near_duplicates, op3_mixing, op4_chat_format, op5_toxicity, op6_quality_rules,
-                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier, op11_token_files, op12_merkle_manifest)}
+                             op7_line_dedup, op8_secret_scan, op9_decontamination, op9_proximity, op10_quality_classifier, op11_token_files, op12_merkle_manifest, op13_alignment)}
