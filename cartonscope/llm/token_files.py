@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartonscope.llm.common import bounded_batches, remove_at_exit, shared_folder, stored
-from cartonscope.llm.tokens import TextEncoder
+from cartonscope.llm.tokens import text_encoder
 
 LENGTH = 2048
 #: Sequences of one record batch.
@@ -85,7 +85,7 @@ class _Sequences:
 
 def _writer(folder: str, tokenizer: str, end_id: int, length: int, rows: int, by_word: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(tokenizer, end_id, by_word)
+        encoder = text_encoder(tokenizer, end_id, by_word)
         wide = max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         store, base = fs.FileSystem.from_uri(folder)
         shard, files, n_docs, n_tokens = TaskContext.get().partitionId(), None, 0, 0

@@ -1,9 +1,10 @@
-"""Distinct pieces of texts, remembered by a worker from batch to batch, so that each is encoded once."""
+"""Distinct pieces of texts, remembered by a Python worker from task to task, so that each is encoded once."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -11,7 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A worker forgets what it knows beyond so many distinct pieces; they are then found anew.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 21
+#: Texts handed to a tokenizer at once; it returns an object of some kilobytes for each.
+AT_ONCE = 1 << 13
 
 
 def load_tokenizer(path: str, plain_specials: bool = False):
@@ -35,11 +38,15 @@ class Remembered:
         if len(self.known) + len(distinct) > self.most:
             self.known = self.known[:0]
             self.forget()
-        missing = distinct.filter(pc.invert(pc.is_in(distinct, value_set=self.known)))
+        place = pc.index_in(distinct, value_set=self.known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        missing = distinct.filter(pa.array(new))
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        place[new] = len(self.known) + np.arange(len(missing))
         if len(missing):
             self.known = pa.concat_arrays([self.known, missing])
             self.learn(missing.to_pylist())
-        return pc.index_in(distinct, value_set=self.known).to_numpy().astype(np.int64)
+        return place
 
 
 def runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -48,6 +55,16 @@ def runs(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
 
 
+def flat(texts: list[str], encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and how many each has."""
+    ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(texts), AT_ONCE):
+        found = encode(texts[at:at + AT_ONCE])
+        counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+    return np.concatenate(ids), np.concatenate(counts)
+
+
 class TextEncoder:
     """Ids of texts, each followed by an end id.
 
@@ -64,9 +81,7 @@ class TextEncoder:
         self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+        return flat(texts, lambda some: [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
 
     def _learn(self, words: list[str]) -> None:
         ids, counts = self._encode(words)
@@ -91,3 +106,9 @@ class TextEncoder:
         is_body[np.cumsum(sizes + 1) - 1] = False
         out[is_body] = body
         return out, sizes + 1
+
+
+@lru_cache(maxsize=1)
+def text_encoder(path: str, end_id: int, by_word: bool) -> TextEncoder:
+    """The worker's encoder; it keeps what it has learned until the worker ends or reads another vocabulary."""
+    return TextEncoder(path, end_id, by_word)
