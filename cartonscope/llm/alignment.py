@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartonscope.llm.common import bounded_batches, packed, shared_folder, slices, stored, unpacked
-from cartonscope.llm.tokens import REMEMBERED, Remembered, load_tokenizer, runs
+from cartonscope.llm.tokens import AT_ONCE, Remembered, flat, load_tokenizer, runs
 
 #: Bytes of text whose documents form a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: Distinct pieces that a worker remembers, some 200 bytes each.
+REMEMBERED = 1 << 19
 #: First bytes of characters among which there is white space beyond ASCII.
 WIDE_BLANKS = (0xC2, 0xE1, 0xE2, 0xE3)
 
@@ -91,11 +93,6 @@ def groups(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: n
     return group[:len(a_start)], group[len(a_start):]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
-
-
 def _distinct(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (group, id) by group, and how often each occurs."""
     keys, counts = np.unique(group << 32 | ids, return_counts=True)
@@ -123,6 +120,14 @@ class Aligned:
         self.pairs, self.times, self.bounds = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
+        found = [self._aligned(pieces[at:at + AT_ONCE]) for at in range(0, len(pieces), AT_ONCE)]
+        ok, counts, texts, pairs, times, n_pairs = zip(*found)
+        self.ok, self.counts = np.concatenate([self.ok, *ok]), np.concatenate([self.counts, *counts])
+        self.texts = pa.concat_arrays([self.texts, *texts])
+        self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(n_pairs))])
+
+    def _aligned(self, pieces: list[str]) -> tuple:
         a_lists, b_lists = self.a(pieces), self.b(pieces)
         a_bytes, b_bytes = self.a.bytes.__getitem__, self.b.bytes.__getitem__
         ok = np.zeros(len(pieces), bool)
@@ -131,7 +136,8 @@ class Aligned:
             ok[i] = b"".join(map(a_bytes, x)) == raw and b"".join(map(b_bytes, y)) == raw
             if not ok[i]:
                 a_lists[i] = b_lists[i] = []
-        (a, n_a), (b, n_b) = _flat(a_lists), _flat(b_lists)
+        (a, n_a), (b, n_b) = (flat(lists, lambda some: some) for lists in (a_lists, b_lists))
+        a, b = a.astype(np.int64), b.astype(np.int64)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         a_group, b_group = groups(a_end - self.a_len[a], a_end, b_end - self.b_len[b], b_end)
         n = int(a_group[-1]) + 1 if len(a) else 0
@@ -151,11 +157,13 @@ class Aligned:
         right = runs(first, per)
         pairs, times = np.repeat(ia, per) << 32 | ib[right], np.repeat(ca, per) * cb[right]
         n_pairs = np.bincount(piece_of[np.repeat(ga, per)], minlength=len(pieces))
-        self.ok = np.concatenate([self.ok, ok])
-        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links], 1)])
-        self.texts = pa.concat_arrays([self.texts, texts])
-        self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(n_pairs)])
+        return ok, np.stack([n_a, n_b, n_groups, n_links], 1), texts, pairs, times, n_pairs
+
+
+@lru_cache(maxsize=1)
+def aligned_pieces(a_path: str, b_path: str, most: int) -> Aligned:
+    """The worker's pieces; it keeps them until it ends or reads other vocabularies."""
+    return Aligned(ByteLevel(a_path), Pieces(b_path), most)
 
 
 def cuts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -242,7 +250,7 @@ ROWS = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string,
 
 def _blocks(a_path: str, b_path: str, block_bytes: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = Aligned(ByteLevel(a_path), Pieces(b_path), most), TaskContext.get().partitionId() << 32
+        known, number = aligned_pieces(a_path, b_path, most), TaskContext.get().partitionId() << 32
         for batch in batches:
             for at, end, _, _ in slices(batch["text"], block_bytes):
                 block = Block(known, batch["text"].slice(at, end - at).fill_null("").to_pylist())
