@@ -119,16 +119,21 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.documents(manifest, folder)
 
 
-def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merkle_digests(docs: DataFrame) -> DataFrame:
+    """Leaf, subroot, root and proof of every row, and what a reader finds who sees a greater n_chars where 7 divides the id's crc32."""
     columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0  # null for a null id, which is left as it is
     tampered = merkle.leaf([F.col("n_chars") + F.when(hit, 1).otherwise(0) if i == 3 else c for i, c in enumerate(columns)])
-    rows = merkle.manifest(table(spark, sf_dir, "documents"), keep=[F.when(hit, tampered)])
+    rows = merkle.manifest(docs, keep=[F.when(hit, tampered)])
     rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("kept0", "leaf"), F.col("path")))
     return rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
