@@ -22,7 +22,7 @@ from cartonscope.operators import rules as RU
 from cartonscope.operators import verification as V
 from cartonscope.plans import label_pipeline as PL
 from cartonscope.plans import label_tables as T
-from cartonscope.session import configure
+from cartonscope.session import configure, rocks
 from cartonscope.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -694,16 +694,20 @@ def str_1_default(spark, d):
 
 @query("str_1_stream")
 def str_1_stream(spark, d):
-    """The same arrivals as a stream: in time order over four files, a micro-batch each."""
+    """The same arrivals as a stream that stops and goes on: a micro-batch for each quarter of the time, over one carried state."""
     from cartonscope.streaming.limiter import rate_limit_stream
     root = T.scratch(spark)
     rows = T.arrivals(spark, d).filter("arrival_id is not null")
-    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{root}/in")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    (rate_limit_stream(live, **LIMITER).writeStream.format("parquet").option("path", f"{root}/out")
-     .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination())
+    span = rows.agg(F.unix_micros(F.min("ts")).alias("low"), F.unix_micros(F.max("ts")).alias("high")).first()
+    low, high = (span.low or 0), (span.high or 0)
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - low) * 4 / max(1, high - low)))
+    for k in range(4):
+        rows.filter(quarter == k).write.mode("append").parquet(f"{root}/in")
+        live = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        with rocks(spark):
+            handle = (rate_limit_stream(live, **LIMITER).writeStream.format("parquet").option("path", f"{root}/out")
+                      .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start())
+        handle.awaitTermination()
     return spark.read.parquet(f"{root}/out")
 
 
