@@ -24,6 +24,7 @@ from cartonscope.plans import label_pipeline as PL
 from cartonscope.plans import label_tables as T
 from cartonscope.session import configure, rocks
 from cartonscope.sources import readers, sinks
+from cartonscope.sources.results_table import ResultsTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -600,14 +601,35 @@ def qry_8(spark, d):
 
 # ---- verification ----------------------------------------------------------------------------
 
+def _results_table(spark, d) -> ResultsTable:
+    """The stored results, written once per session; no query changes them."""
+    made = T.written_as(spark, d, "results_table", lambda path: ResultsTable(spark, path).create(T.rule_results(spark, d)))
+    return ResultsTable(spark, made)
+
+
 def _classified(spark, d) -> DataFrame:
-    return V.classify_requests(T.verify_requests(spark, d), T.scans(spark, d), T.rule_results(spark, d))
+    requests = T.verify_requests(spark, d)
+    return V.classify_requests(requests, T.scans(spark, d), _results_table(spark, d).near(requests))
 
 
 def _accepted(spark, d) -> DataFrame:
     return V.accepted(_classified(spark, d))
 
 
+def _accepted_stored(spark, d) -> DataFrame:
+    return T.written(spark, d, "accepted", lambda: _accepted(spark, d))
+
+
+def _changed(spark, d) -> DataFrame:
+    """The load of changes that the accepted requests make, written and read back."""
+    path = T.scratch(spark)
+    _results_table(spark, d).write_changes(_accepted_stored(spark, d), path, 1)
+    return spark.read.parquet(path)
+
+
+VERIFIED = ("scan_id", "rule_id", "status", "original_status", "verified_by", "verified_at", "verification_note", "notes")
+
+
 @query("ver_1")
 def ver_1(spark, d):
     return _classified(spark, d).select("request_id", "scan_id", "rule_id", "code")
@@ -621,15 +643,27 @@ def ver_2(spark, d):
 
 @query("ver_3")
 def ver_3(spark, d):
-    return V.apply_verifications(T.rule_results(spark, d), _accepted(spark, d)).select(
-        "scan_id", "rule_id", "status", "original_status", "verified_by", "verified_at", "verification_note", "notes")
+    """Stored rows with the load of changes put over them."""
+    base, changed = _results_table(spark, d), _changed(spark, d)
+    return base.over(changed).select(*VERIFIED)
+
+
+@query("ver_3_compacted")
+def ver_3_compacted(spark, d):
+    """The same from a table that was created, changed in two loads and compacted."""
+    table = ResultsTable(spark, T.scratch(spark)).create(T.rule_results(spark, d))
+    accepted = _accepted_stored(spark, d)
+    for load in range(2):
+        table.apply(accepted.filter(F.pmod(F.xxhash64(*V.KEY), F.lit(2)) == load), load)
+    table.compact()
+    return table.read().select(*VERIFIED)
 
 
 @query("ver_4")
 def ver_4(spark, d):
-    acc = _accepted(spark, d)
-    return V.recompute_rollups(V.apply_verifications(T.rule_results(spark, d), acc), acc).select(
-        "scan_id", "overall_status", "compliance_score")
+    acc = _accepted_stored(spark, d)
+    near = _results_table(spark, d).over(_changed(spark, d), _results_table(spark, d).buckets_of(acc))
+    return V.recompute_rollups(near, acc).select("scan_id", "overall_status", "compliance_score")
 
 
 @query("ver_5")
@@ -639,13 +673,14 @@ def ver_5(spark, d):
 
 @query("ver_6")
 def ver_6(spark, d):
-    return V.untouched(T.rule_results(spark, d), _accepted(spark, d)).select("scan_id", "rule_id", "status")
+    return V.untouched(_results_table(spark, d).read(), _accepted_stored(spark, d)).select("scan_id", "rule_id", "status")
 
 
 @query("ver_6_redraw")
 def ver_6_redraw(spark, d):
-    acc = _accepted(spark, d)
-    return V.redraw_set(V.apply_verifications(T.rule_results(spark, d), acc), acc)
+    acc = _accepted_stored(spark, d)
+    near = _results_table(spark, d).over(_changed(spark, d), _results_table(spark, d).buckets_of(acc))
+    return V.redraw_set(near, acc)
 
 
 # ---- photo planning --------------------------------------------------------------------------

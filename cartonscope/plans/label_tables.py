@@ -28,12 +28,17 @@ def scratch(spark: SparkSession) -> str:
 def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table as it would lie in storage: written once per session, then read like any
     other table, so queries start from a scan and not from the derivation."""
+    return spark.read.parquet(written_as(spark, sf_dir, name, lambda path: build().write.parquet(path)))
+
+
+def written_as(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder of what write(folder) has written, once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _WRITTEN:
         path = f"{scratch(spark)}/{name}"
-        build().write.parquet(path)
+        write(path)
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return _WRITTEN[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -277,7 +277,9 @@ put("ver_4", f"""SELECT scan_id, {VERDICT} AS overall_status, {SCORE} AS complia
     count(*) FILTER (WHERE status = 'NEEDS_VERIFICATION') AS n FROM verified
   WHERE scan_id IN (SELECT scan_id FROM accepted) GROUP BY 1)""", "verified", "accepted")
 put("ver_5", _audit, "accepted")
-put("ver_6", """SELECT scan_id, rule_id, status FROM results ANTI JOIN accepted USING (scan_id, rule_id)""", "results", "accepted")
+ORACLE["ver_3_compacted"] = ORACLE["ver_3"]
+put("ver_6", """SELECT r.scan_id, r.rule_id, r.status FROM results r LEFT JOIN accepted a ON a.scan_id = r.scan_id AND a.rule_id = r.rule_id
+WHERE a.scan_id IS NULL""", "results", "accepted")
 block("redrawn", "SELECT * FROM verified WHERE scan_id IN (SELECT scan_id FROM accepted)", "verified", "accepted")
 put("ver_6_redraw", drawn("redrawn"), "redrawn")
 
