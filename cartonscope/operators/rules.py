@@ -220,35 +220,32 @@ def grouping(d: Row) -> Cases:
             Case(None, NV, F.concat(X.fill(K.NOTE_GROUP_UNSURE, name=name, worst=pct), tail))]
 
 
-def intruders(declarations: DataFrame, regions: DataFrame) -> DataFrame:
-    """(scan_id, region_idx, text) of boxes inside the clear space of the quantity but not part of it.
-
-    One quantity box per scan meets that scan's boxes: an equi-join with a box predicate, never
-    boxes against boxes.
-    """
-    box = F.col("net_quantity_value.bounding_box")
-    quantity = (declarations.filter(F.col("net_quantity_value.found") & box.isNotNull() & (box["height"] > 0))
-                .select("scan_id", *[box[n].alias(f"q_{n}") for n in ("x", "y", "width", "height")]))
-    x2, y2 = F.col("x") + F.col("width"), F.col("y") + F.col("height")
-    qx2, qy2 = F.col("q_x") + F.col("q_width"), F.col("q_y") + F.col("q_height")
-    h = F.col("q_height")
-    inside = (F.col("x") >= F.col("q_x")) & (F.col("y") >= F.col("q_y")) & (x2 <= qx2) & (y2 <= qy2)
-    overlaps = ((x2 > F.col("q_x") - 2 * h) & (F.col("x") < qx2 + 2 * h)
-                & (y2 > F.col("q_y") - h) & (F.col("y") < qy2 + h))
-    return (quantity.join(regions.select("scan_id", "region_idx", "text", "x", "y", "width", "height"), "scan_id")
-            .filter(overlaps & ~inside).select("scan_id", "region_idx", "text"))
+def _in_clear_space(box: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """Whether a box lies in the clear space of the quantity's box without being part of it."""
+    x2, y2, h = x + width, y + height, box["height"]
+    qx2, qy2 = box["x"] + box["width"], box["y"] + h
+    inside = (x >= box["x"]) & (y >= box["y"]) & (x2 <= qx2) & (y2 <= qy2)
+    return (x2 > box["x"] - 2 * h) & (x < qx2 + 2 * h) & (y2 > box["y"] - h) & (y < qy2 + h) & ~inside
 
 
 def with_clear_space(declarations: DataFrame, regions: DataFrame) -> DataFrame:
     """Adds ``intruding``: quoted texts of the first three intruders, NULL when there are none.
 
-    The rank filter prunes to three rows per scan before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("scan_id").orderBy("region_idx"))
-    named = (intruders(declarations, regions).withColumn("rank", rank).filter("rank <= 3")
-             .groupBy("scan_id").agg(F.array_join(F.transform(
-                 F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda t: X.quoted(t["text"])), ", ")
-                 .alias("intruding")))
-    return declarations.join(named, "scan_id", "left")
+    One declared row per scan meets that scan's boxes in an outer join that keeps only intruders, so declarations are
+    computed once and nothing is staged; boxes never meet boxes. Intruders of a scan are then walked in box order: the
+    first row of a scan sees the texts of the next two and is the one that stays.
+    """
+    quantity = F.col("net_quantity_value")
+    box = quantity["bounding_box"]
+    seen = regions.select(F.col("scan_id").alias("r_scan"), F.col("region_idx").alias("r_idx"), F.col("text").alias("r_text"),
+                          *[F.col(c).alias(f"r_{c}") for c in ("x", "y", "width", "height")])
+    intrudes = quantity["found"] & (box["height"] > 0) & _in_clear_space(box, *[F.col(f"r_{c}") for c in ("x", "y", "width", "height")])
+    met = declarations.join(seen, (F.col("scan_id") == F.col("r_scan")) & intrudes, "left")
+    order = Window.partitionBy("scan_id").orderBy("r_idx")
+    text = F.when(F.col("r_scan").isNotNull(), X.quoted(F.col("r_text")))
+    first = met.withColumns({"r_at": F.row_number().over(order), "r_next": F.lead(text, 1).over(order), "r_third": F.lead(text, 2).over(order)})
+    return first.filter("r_at = 1").select(
+        *declarations.columns, F.when(F.col("r_scan").isNotNull(), F.concat_ws(", ", text, "r_next", "r_third")).alias("intruding"))
 
 
 def clear_space(d: Row) -> Cases:

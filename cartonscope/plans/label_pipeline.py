@@ -34,11 +34,10 @@ def declarations_of(primary: DataFrame, meta: DataFrame, secondary: DataFrame |
 
 
 def results_of(declarations: DataFrame, primary: DataFrame, registry: RU.Registry | None = None) -> DataFrame:
-    """All registered rules. Only the clear-space rule looks at boxes again; the declarations are
-    staged for it because they are read twice."""
+    """All registered rules. Only the clear-space rule looks at boxes again."""
     registry = registry or RU.default_registry()
     if registry.needs_clear_space():
-        declarations = RU.with_clear_space(staged(declarations), primary)
+        declarations = RU.with_clear_space(declarations, primary)
     return RU.run_rules(declarations, registry)
 
 
