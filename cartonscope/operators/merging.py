@@ -50,19 +50,25 @@ def rederive_category(unit: Column, prior: Column) -> Column:
     return X.unit_category(F.when(unit != "", unit), prior)
 
 
-def merge_passes(primary: DataFrame, secondary: DataFrame) -> DataFrame:
+def on_ids(ids: DataFrame, declarations: DataFrame) -> DataFrame:
+    """declarations for all of ids (scan_id), unknown where they have none. Merging what covers all ids needs outer joins to one side
+    only; these keep the layout of their left side, so that bucketed tables are merged one after the other without an exchange."""
+    return ids.join(declarations, "scan_id", "left")
+
+
+def merge_passes(primary: DataFrame, secondary: DataFrame, covered: bool = False) -> DataFrame:
     """Two passes over the same photos; flags, geometry and warnings stay the primary's, and are unknown
-    for a photo that only the second pass read."""
-    j = primary.join(_second_side(secondary), "scan_id", "full_outer")
+    for a photo that only the second pass read. covered: primary has every photo (:func:`on_ids`)."""
+    j = primary.join(_second_side(secondary), "scan_id", "left" if covered else "full_outer")
     merged = j.withColumns({f: better_pass(F.col(f), F.col(f"s_{f}")) for f in K.DECLARATION_FIELDS})
     return (merged.withColumn("commodity_category",
                               rederive_category(F.col("net_quantity_unit.value"), F.col("commodity_category")))
             .select(primary.columns))
 
 
-def merge_vision(ocr: DataFrame, vision: DataFrame) -> DataFrame:
-    """OCR and vision; a label that only one of them read keeps that reading."""
-    j = ocr.join(_second_side(vision), "scan_id", "full_outer")
+def merge_vision(ocr: DataFrame, vision: DataFrame, covered: bool = False) -> DataFrame:
+    """OCR and vision; a label that only one of them read keeps that reading. covered: ocr has every label."""
+    j = ocr.join(_second_side(vision), "scan_id", "left" if covered else "full_outer")
     agree = j.withColumns({f"agree_{f}": X.values_agree(F.col(f"{f}.value"), F.col(f"s_{f}.value"))
                            for f in K.DECLARATION_FIELDS})
     merged = agree.withColumns({f: with_vision(F.col(f), F.col(f"s_{f}"), F.col(f"agree_{f}"))

@@ -24,6 +24,7 @@ from cartonscope.plans import label_pipeline as PL
 from cartonscope.plans import label_tables as T
 from cartonscope.session import configure, rocks
 from cartonscope.sources import readers, sinks
+from cartonscope.sources.bucketed import all_ids
 from cartonscope.sources.results_table import ResultsTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,33 +369,45 @@ def fld_14(spark, d):
 
 # ---- reconciliation --------------------------------------------------------------------------
 
-def _declared_table(spark, d, reader: str) -> DataFrame:
-    """One reader's declarations as a stored table: what reconciliation reads."""
+def _declared_stored(spark, d, reader: str) -> tuple[DataFrame, str]:
     def build():
         if reader == "v":
             return readers.parse_reader_answers(T.reader_answers(spark, d))
         found = E.extract_declarations(T.label_regions(spark, d, reader))
         return E.with_unread_scans(T.label_meta(spark, d), found) if reader == "p" else found
-    return T.written(spark, d, f"declared_{reader}", build)
+    return T.bucketed(spark, d, f"declared_{reader}", build)
+
+
+def _declared_table(spark, d, reader: str) -> DataFrame:
+    """One reader's declarations as a stored table, bucketed by scan: what reconciliation reads."""
+    return _declared_stored(spark, d, reader)[0]
+
+
+def _declared_ids(spark, d) -> DataFrame:
+    """Every scan that any reader has declarations of."""
+    return T.bucketed(spark, d, "declared_ids", lambda: all_ids(spark, *[_declared_stored(spark, d, r)[1] for r in ("p", "s", "v")]))[0]
 
 
-def _both_passes(spark, d):
-    return _declared_table(spark, d, "p"), _declared_table(spark, d, "s")
+def _catalogue(spark, d) -> DataFrame:
+    return T.bucketed(spark, d, "catalogue", lambda: T.label_meta(spark, d))[0]
 
 
 def _passes(spark, d) -> DataFrame:
-    return M.merge_passes(*_both_passes(spark, d))
+    primary = M.on_ids(_declared_ids(spark, d), _declared_table(spark, d, "p"))
+    return M.merge_passes(primary, _declared_table(spark, d, "s"), covered=True)
 
 
 def _merged(spark, d) -> DataFrame:
-    return M.merge_vision(_passes(spark, d), _declared_table(spark, d, "v"))
+    return M.merge_vision(_passes(spark, d), _declared_table(spark, d, "v"), covered=True)
 
 
 @query("mrg_1")
 def mrg_1(spark, d):
-    p, s = _both_passes(spark, d)
-    return M.merge_fields(E.to_long(p), E.to_long(s), M.better_pass).select(
-        "scan_id", "field_name", "value", "ocr_confidence", "found")
+    """Scans that a pass has read, field by field."""
+    p, s = _declared_table(spark, d, "p"), _declared_table(spark, d, "s")
+    read = M.on_ids(_declared_ids(spark, d), p.withColumn("in_p", F.lit(True))).join(
+        s.select("scan_id", F.lit(True).alias("in_s")), "scan_id", "left").filter("in_p OR in_s").select(p.columns)
+    return E.to_long(M.merge_passes(read, s, covered=True)).select("scan_id", "field_name", "value", "ocr_confidence", "found")
 
 
 @query("mrg_2")
@@ -426,7 +439,7 @@ def _ready(spark, d) -> DataFrame:
 
 
 def _full(spark, d) -> DataFrame:
-    return L.calibrate(E.apply_overrides(_merged(spark, d), T.label_meta(spark, d)))
+    return L.calibrate(E.apply_overrides(_merged(spark, d), _catalogue(spark, d)))
 
 
 def _flat_results(results: DataFrame) -> DataFrame:
@@ -786,6 +799,7 @@ def store_inputs(spark: SparkSession, d: str) -> None:
     both_readings(spark, d), _stored_register(spark, d)
     for reader in ("p", "s", "v"):
         _declared_table(spark, d, reader)
+    _declared_ids(spark, d), _catalogue(spark, d)
 
 
 @query("flagship")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cartonscope import constants as K
 from cartonscope.plans import label_templates as L
 from cartonscope.session import shared_folder
+from cartonscope.sources.bucketed import write_bucketed
 
 RULE_IDS = list(K.RULES)
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -31,6 +32,19 @@ def written(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
     return spark.read.parquet(written_as(spark, sf_dir, name, lambda path: build().write.parquet(path)))
 
 
+_BUCKETED: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+_BUCKETS: dict[str, int] = {}
+
+
+def bucketed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """A derived table with one row per scan, stored by bucket of scan once per session, and its folder; all have as many buckets as the first."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUCKETED:
+        buckets, path = _BUCKETS.setdefault(key[0], int(spark.conf.get("spark.sql.shuffle.partitions"))), f"{scratch(spark)}/{name}"
+        _BUCKETED[key] = write_bucketed(build(), path, buckets), path
+    return _BUCKETED[key]
+
+
 def written_as(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
     """The folder of what write(folder) has written, once per session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
