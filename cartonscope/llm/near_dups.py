@@ -17,10 +17,11 @@
    coordinates reaches T, and the full sets pass 100 * |A & B| >= 80 * |A | B|.
 5. Components come from repeated minimum labels with pointer jumping, in stored tables.
 
-With K = 40 and T = 20 a pair of similarity 0.8 is missed once in some 100,000 times; more similar ones less often.
+With K = 40 and T = 20 a pair of similarity 0.8 is missed once in some 200,000 times; more similar ones less often.
 
 Defined cases: null, empty or wordless texts have no shingles and are linked with nothing; a text
-with fewer words than a shingle is one shingle; equal rows are linked; a null doc_id stays null and
+with fewer words than a shingle is one shingle; equal rows are linked, and so is each text of an id that
+has several; components are named by their smallest id; a null doc_id stays null and
 kept; an empty table gives an empty result.
 """
 
@@ -95,9 +96,9 @@ def _signatures(n: int):
                     one[full], two[full] = (np.add.reduceat(mix(sets ^ c), starts) for c in _COEF[:2])
                 offsets = pa.array(np.arange(end - at + 1, dtype=np.int32) * K)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(at, end - at), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                    batch["doc_id"].slice(at, end - at), batch["v"].slice(at, end - at), pa.array(sizes), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
                     pa.array(sketch.view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))],
-                    ["doc_id", "n_shingles", "set_1", "set_2", "sketch", "keys"])
+                    ["doc_id", "v", "n_shingles", "set_1", "set_2", "sketch", "keys"])
     return sign
 
 
@@ -256,19 +257,30 @@ def _may_link(columns: list[str], a: str, b: str) -> Column:
     return test
 
 
+def _row_key() -> Column:
+    """Stands for a row in all joins; equal rows share it, two texts of one id do not."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs (doc_id long, text)."""
+    return _judged(docs, shingle, percent).drop("v")
+
+
+def _judged(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The columns of near_duplicates and v, the row's key."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared_folder(spark)
-    docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_signatures(shingle), "doc_id long, n_shingles long, set_1 long, set_2 long, "
+    docs = docs.select("doc_id", "text", _row_key().alias("v"))
+    signed = stored(docs.mapInArrow(_signatures(shingle), "doc_id long, v long, n_shingles long, set_1 long, set_2 long, "
                                     "sketch long, keys array<long>"), "signatures")
     rows = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = stored(rows.groupBy("set_1", "set_2").agg(F.min("doc_id").alias("v")), "classes")
     # The row of its smallest id stands for a class.
-    heads = rows.join(classes.withColumnRenamed("v", "doc_id"), ["doc_id", "set_1", "set_2"], "left_semi")
-    all_posts = heads.select(F.col("doc_id").alias("v"), "sketch", F.explode("keys").alias("key"))
+    classes = stored(rows.groupBy("set_1", "set_2").agg(F.min(F.struct("doc_id", "v")).alias("head"))
+                     .select("set_1", "set_2", "head.doc_id", "head.v"), "classes")
+    heads = rows.join(classes.select("v", "set_1", "set_2"), ["v", "set_1", "set_2"], "left_semi")
+    all_posts = heads.select("v", "sketch", F.explode("keys").alias("key"))
     shared = all_posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     listed = (all_posts.join(shared, "key").groupBy("v", "sketch")
               .agg(F.collect_set(F.struct("df", "key")).alias("found")).filter(F.size("found") >= T))
@@ -276,7 +288,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     pop = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     posts = stored(listed.select("v", "sketch", pop.alias("pop"), F.explode(prefix["key"]).alias("key")), "posts")
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_SLOTS))
     found = posts.select(F.pmod(F.xxhash64("v"), F.lit(ID_SLOTS)).alias("slot")).distinct()
     maps = found.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
@@ -284,8 +295,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     for part, bits in maps:  # the first bitmap is number 1 and starts at slot 1, number 0 holds slot 0
         bitmap[part * 4096:part * 4096 + len(bits)] = np.frombuffer(bits, np.uint8)
     sets = stored(docs.filter("doc_id is not null").select(
-        "doc_id", "text", F.expr(f"bitmap_bucket_number(pmod(xxhash64(doc_id), {ID_SLOTS})) * 32768L"
-                                 f" + bitmap_bit_position(pmod(xxhash64(doc_id), {ID_SLOTS}))").alias("slot"))
+        F.col("v").alias("doc_id"), "text", F.expr(f"bitmap_bucket_number(pmod(xxhash64(v), {ID_SLOTS})) * 32768L"
+                                                   f" + bitmap_bit_position(pmod(xxhash64(v), {ID_SLOTS}))").alias("slot"))
         .mapInArrow(_sets(shingle, bitmap), "v long, shingles binary"), "sets")
 
     linking = _Linking(posts, sets, percent)
@@ -306,15 +317,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     linking.try_pairs(centres(linking.members()).select(F.col("v").alias("a"), F.col("centre").alias("b")))
     linking.try_pairs(linking.meet_on_shingles())
 
-    of_class = (classes.join(linking.labels, "v", "left")
-                .select("set_1", "set_2", F.coalesce("comp", "v").alias("class_comp")))
-    out = signed.select("doc_id", "n_shingles", "set_1", "set_2").join(of_class, ["set_1", "set_2"], "left")
+    # Components of rows are named by the smallest id in them.
+    named = classes.join(linking.labels, "v", "left").select("set_1", "set_2", "doc_id", F.coalesce("comp", "v").alias("comp"))
+    of_class = named.join(named.groupBy("comp").agg(F.min("doc_id").alias("class_comp")), "comp").select("set_1", "set_2", "class_comp")
+    out = signed.select("doc_id", "v", "n_shingles", "set_1", "set_2").join(of_class, ["set_1", "set_2"], "left")
     comp = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class_comp", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"),
+    return out.select("doc_id", "v", "n_shingles", comp.alias("component_id"),
                       F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id. Rows of a null id stay."""
-    found = near_duplicates(docs, shingle, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each group: of the smallest doc_id, and of equal rows with words one. Two texts of one id are judged each
+    for itself. Rows of a null id stay."""
+    judged = stored(_judged(docs, shingle, percent).select("v", "kept", (F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).alias("linked")), "judged")
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    kept = docs.withColumn(key, _row_key()).join(judged.filter("not kept").select(F.col("v").alias(key)).distinct(), key, "left_anti")
+    again = judged.filter("kept and linked").groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("v").alias(key))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    single = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return single.select(*docs.columns)

@@ -24,16 +24,16 @@ shingles AS MATERIALIZED (
   SELECT DISTINCT r, doc_id, array_to_string(w[k:k + 3], ' ') AS s
   FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM worded WHERE len(w) > 0)),
 sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM shingles GROUP BY 1),
-pairs AS (SELECT a.r AS ra, b.r AS rb, any_value(a.doc_id) AS a, any_value(b.doc_id) AS b, count(*) AS common
-  FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
-links AS MATERIALIZED (SELECT a, b FROM pairs JOIN sizes x ON x.r = ra JOIN sizes y ON y.r = rb
+pairs AS (SELECT a.r AS ra, b.r AS rb, count(*) AS common
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r AND a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT ra AS a, rb AS b FROM pairs JOIN sizes x ON x.r = ra JOIN sizes y ON y.r = rb
   WHERE 100 * common >= 80 * (x.n + y.n - common)),
 edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT a, b FROM edges UNION SELECT x.a, y.b FROM reach x JOIN edges y ON x.b = y.a),
-least AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)
+least AS (SELECT a, min(doc_id) AS m FROM reach JOIN docs ON r = b GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(doc_id, m), doc_id) AS component_id,
   coalesce(least(doc_id, m), doc_id) = doc_id AS kept
-FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least ON a = doc_id"""
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least ON a = r"""
 
 _ESCAPED = "replace({c}, chr(92), chr(92) || chr(92))"
 for _control in C.CONTROLS:
@@ -84,7 +84,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 2 * upper > upper + lower
     OR 2 * bangs > n_words OR 10 * digits > 3 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-    OR 2 * n_dup_lines > n_lines OR 10 * n_most > 3 * n_words OR 2 * n_four > n_words) AS kept
+    OR 2 * n_dup_lines > n_lines OR 10 * n_most > 3 * n_words OR 10 * n_four > 4 * n_words) AS kept
 FROM stats"""
 
 LINES = f"""

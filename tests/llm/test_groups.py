@@ -74,6 +74,22 @@ def test_awkward_rows(docs, rows, no_docs):
     assert N.near_duplicates(no_docs).collect() == [] and N.without_near_duplicates(no_docs).collect() == []
 
 
+def test_texts_of_one_id_are_judged_each_for_itself(spark):
+    import duckdb
+    from cartonscope.llm.oracle import ORACLE
+    a, b, c = ("one two three four five six seven eight nine ten", "quite another text that nothing else is like at all", "a third one of its own, alone")
+    rows = [(3, a), (7, a), (7, b), (8, c), (8, c), (9, ""), (9, ""), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.monotonically_increasing_id())
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect())
+    assert got == Counter([(3, 3, True), (7, 3, False), (7, 7, True), (8, 8, True), (8, 8, True), (9, 9, True), (9, 9, True), (None, None, True)])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows[:-1])
+    assert Counter((i, k, kept) for i, _, k, kept in con.execute(ORACLE["op2_near_duplicates"]).fetchall()) == got - Counter([(None, None, True)])
+    kept = N.without_near_duplicates(df)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a), (7, b), (8, c), (9, ""), (9, ""), (None, a)]) and kept.columns == df.columns
+
+
 def test_partner_bounds_are_safe(spark):
     sets = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f"), (3, "x y z q r")], "doc_id long, text string")
     import numpy as np
