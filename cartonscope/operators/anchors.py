@@ -55,12 +55,14 @@ def _lower(terms: list[str]) -> list[str]:
     return [t.lower() for t in terms]
 
 
+def quoted(text: str) -> str:
+    """A text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal(pattern: str) -> str:
-    """A pattern as a raw SQL string literal."""
-    quote = "'" if "'" not in pattern else '"'
-    if quote in pattern:
-        raise ValueError("a dictionary term may not hold both kinds of quotes")
-    return f"r{quote}{pattern}{quote}"
+    """A pattern as a raw SQL string literal; a single quote in it is written by its number."""
+    return "r'" + pattern.replace("'", r"\x27") + "'"
 
 
 FOLDED, LOWER = "translate(lower({c}), 'ſıK', 'sik')", "lower({c})"
@@ -110,7 +112,7 @@ def _terms_found(dictionary: Dictionary, qualifies, test) -> Column:
     for grp, terms in dictionary.items():
         chosen = qualifies(terms)
         if chosen:
-            found = ", ".join(f"IF({test('text', [t])}, named_struct('grp', {literal(grp)}, 'term', {literal(t)}), NULL)"
+            found = ", ".join(f"IF({test('text', [t])}, named_struct('grp', {quoted(grp)}, 'term', {quoted(t)}), NULL)"
                               for t in chosen)
             per_group.append(f"IF({test('text', chosen)}, array_compact(array({found})), NULL)")
     return F.expr(f"flatten(array_compact(array({', '.join(per_group)})))")
@@ -145,7 +147,7 @@ def anchor_match(regions: DataFrame, dictionary: Dictionary | None = None) -> Da
     """(scan, box, group) with the first tier that fired: exact, then fuzzy, then stray."""
     d = dictionary or compile_dictionary()
     tiers = ", ".join(
-        f"named_struct('grp', {literal(g)}, 'tier', CASE WHEN {exact_sql('text', t)} THEN 'exact' "
+        f"named_struct('grp', {quoted(g)}, 'tier', CASE WHEN {exact_sql('text', t)} THEN 'exact' "
         f"WHEN {fuzzy_sql('text', t)} THEN 'fuzzy' WHEN {stray_sql('text', t)} THEN 'stray' END)"
         for g, t in d.items() if t)
     return (regions.select("scan_id", "region_idx", "text", F.expr(f"inline(array({tiers}))"))

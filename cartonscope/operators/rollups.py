@@ -20,8 +20,8 @@ def status_counts(results: DataFrame) -> DataFrame:
 
 
 def score_of(passed: Column, applicable: Column) -> Column:
-    """Share of applicable checks passed, one decimal; NULL when none applies."""
-    return F.round(F.lit(100.0) * passed / F.nullif(applicable, F.lit(0)), 1)
+    """Share of applicable checks passed, one decimal, halves to the even digit; NULL when none applies."""
+    return F.bround(F.lit(100.0) * passed / F.nullif(applicable, F.lit(0)), 1)
 
 
 def _applicable() -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cartonscope import constants as K
 from cartonscope import schemas as S
+from cartonscope.operators import anchors as A
+from cartonscope.operators import rollups as R
 from cartonscope.operators import verification as V
 from cartonscope.sources.results_table import ResultsTable
 
@@ -121,3 +123,19 @@ def test_requests_are_answered_in_order(spark):
         "request_id long, at long, scan_id long, rule_id string, role string").withColumn("ts", F.timestamp_seconds("at"))
     got = {r.request_id: r.code for r in V.classify_requests(requests, scans, results(spark, 3)).collect()}
     assert got == {1: 409, 2: 200, 3: 403, 4: 404, 5: 404, 6: 409, 7: 409}
+
+
+def test_sixteen_rules_round_halves_to_even(spark):
+    """1/16 is 6.25 % and shows as 6.2; 3/16 is 18.75 % and shows as 18.8."""
+    rows = [(scan, n, K.PASS if n < scan else K.FAIL) for scan in (0, 1, 3, 16) for n in range(16)] + [(99, 0, K.NOT_APPLICABLE)]
+    found = R.compliance_score(spark.createDataFrame(rows, "scan_id long, rule_no int, status string")).collect()
+    assert {r.scan_id: r.compliance_score for r in found} == {0: 0.0, 1: 6.2, 3: 18.8, 16: 100.0, 99: None} == {
+        **{s: round(100 * s / 16, 1) for s in (0, 1, 3, 16)}, 99: None}
+
+
+def test_terms_may_hold_both_kinds_of_quotes(spark):
+    terms = spark.createDataFrame([("mrp", "eng", "max 'retail\" price"), ("mrp", "eng", "it's")], "grp string, lang string, term string")
+    boxes = spark.createDataFrame([(1, 0, "Max 'Retail\" Price 5"), (1, 1, "max retail price"), (2, 0, "it's 5")], "scan_id long, region_idx int, text string")
+    found = A.anchor_match(boxes, A.compile_dictionary(terms)).select("scan_id", "region_idx", "grp").distinct().collect()
+    assert {(1, 0, "mrp"), (2, 0, "mrp")} <= {tuple(r) for r in found}
+    assert spark.sql(f"SELECT {A.quoted('a\\b')} AS a, {A.quoted('it\'s')} AS b").first() == ("a\\b", "it's")
