@@ -799,7 +799,7 @@ def store_inputs(spark: SparkSession, d: str) -> None:
     both_readings(spark, d), _stored_register(spark, d)
     for reader in ("p", "s", "v"):
         _declared_table(spark, d, reader)
-    _declared_ids(spark, d), _catalogue(spark, d)
+    _declared_ids(spark, d), _catalogue(spark, d), _results_table(spark, d)
 
 
 @query("flagship")
