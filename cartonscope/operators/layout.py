@@ -1,16 +1,23 @@
 """Spatial grouping of boxes: words to lines, label/value rows, height measures, calibration.
 
 Grouping keys here may be very uneven (one scan id may hold a large share of all boxes), so no
-step gathers all boxes of a scan in one task. Ordered walks are cut into x-buckets that are
-summarised, linked over the summaries, and finished bucket by bucket.
+step gathers all boxes of a scan in one task. Ordered walks over boxes are cut into x-buckets that are
+summarised, linked over the summaries, and finished bucket by bucket; those over words stream sorted batches.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from cartonscope import constants as K
+from cartonscope.session import ship
 
 ROW_BUCKET_PX = 512
 
@@ -25,83 +32,112 @@ def box_of(c: Column) -> Column:
 
 # ---- words to lines --------------------------------------------------------------------------
 
+LINE_PAIRS = pa.schema([("scan_id", pa.int64()), ("reader", pa.string()), ("y", pa.int32()), ("height", pa.int32()),
+                        ("line_no", pa.int32())])
+MERGED_WORDS = pa.schema([
+    ("scan_id", pa.int64()), ("reader", pa.string()), ("text", pa.string()), ("x", pa.int32()), ("y", pa.int32()),
+    ("width", pa.int32()), ("height", pa.int32()), ("confidence", pa.float64()), ("language", pa.string()),
+    ("line_no", pa.int32()), ("part_no", pa.int32())])
+
+
+class LineHeads:
+    """First words of the lines opened so far, for words that come by rising y.
+
+    A head takes a word whose distance is within the tolerance of either height. Heads lie by rising y,
+    so those that the word's own tolerance reaches begin at a place found by bisection. Those that reach
+    the word by their own height begin at the first one not yet passed: a head once out of reach stays so.
+    """
+
+    def __init__(self) -> None:
+        self.tops: list[int] = []
+        self.reach: list[int] = []
+        self.passed = 0
+
+    def line_of(self, y: int, height: int) -> int:
+        own = math.floor(max(float(K.LINE_MIN_TOLERANCE_PX), height * K.LINE_HEIGHT_RATIO))
+        while self.passed < len(self.tops) and y - self.tops[self.passed] > self.reach[self.passed]:
+            self.passed += 1
+        line = min(self.passed, bisect_left(self.tops, y - own))
+        if line == len(self.tops):
+            self.tops.append(y)
+            self.reach.append(own)
+        return line
+
+
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _walk_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    photo, heads = None, LineHeads()
+    for batch in batches:
+        rows = []
+        for scan, reader, y, height in zip(*(batch.column(n).to_pylist() for n in ("scan_id", "reader", "y", "height"))):
+            if (scan, reader) != photo:
+                photo, heads = (scan, reader), LineHeads()
+            rows.append((scan, reader, y, height, heads.line_of(y, height)))
+        yield _arrow(rows, LINE_PAIRS)
+
+
 def cluster_lines(words: DataFrame) -> DataFrame:
     """Adds ``line_no``: each word, by y, joins the oldest line whose first word is near enough.
 
     The decision depends on (y, height) alone and is the same for equal pairs, so the ordered walk
     runs over the distinct pairs of a photo, whose number is bounded by its pixel geometry however
     many words it has; words then pick their line up by an equi-join on (scan, reader, y, height).
+    The walk streams sorted Arrow batches and holds the line heads of one photo. Words without a scan,
+    reader, y or height are on no line and are left out.
     """
     keys = ["scan_id", "reader"]
-    pairs = words.groupBy(*keys, "y", "height").agg(F.min("word_idx").alias("word_idx"))
-    walk = F.array_sort(F.collect_list(F.struct("y", "word_idx", "height")))
-
-    def step(lines: Column, w: Column) -> Column:
-        def fits(line: Column) -> Column:
-            tolerance = F.greatest(F.lit(float(K.LINE_MIN_TOLERANCE_PX)),
-                                   F.greatest(line["height"], w["height"]) * K.LINE_HEIGHT_RATIO)
-            return F.abs(w["y"] - line["y"]) <= tolerance
-        return F.when(F.exists(lines["refs"], fits), lines).otherwise(F.struct(
-            F.concat(lines["refs"], F.array(F.struct(w["y"].alias("y"), w["height"].alias("height"))))
-            .alias("refs")))
-
-    # Lines are opened in walk order, and a word's line is the first one that fits: lines opened
-    # later never come before it, so the finished list answers for every pair.
-    start = F.struct(F.array().cast("array<struct<y:int,height:int>>").alias("refs"))
-    refs = pairs.groupBy(*keys).agg(walk.alias("walk")).select(
-        *keys, "walk", F.aggregate("walk", start, step)["refs"].alias("refs"))
-
-    def line_of(w: Column) -> Column:
-        def index_if_fits(line: Column, i: Column) -> Column:
-            tolerance = F.greatest(F.lit(float(K.LINE_MIN_TOLERANCE_PX)),
-                                   F.greatest(line["height"], w["height"]) * K.LINE_HEIGHT_RATIO)
-            return F.when(F.abs(w["y"] - line["y"]) <= tolerance, i)
-        return F.array_min(F.transform(F.col("refs"), index_if_fits))
-
-    lines = refs.select(*keys, F.inline(F.transform("walk", lambda w: F.struct(
-        w["y"].alias("y"), w["height"].alias("height"), line_of(w).cast("int").alias("line_no")))))
+    ship(words.sparkSession)
+    pairs = words.dropna(subset=[*keys, "y", "height"]).groupBy(*keys, "y", "height").agg(
+        F.min("word_idx").alias("word_idx"))
+    lines = pairs.repartition(*keys).sortWithinPartitions(*keys, "y", "word_idx", "height").select(*keys, "y", "height").mapInArrow(
+        _walk_pairs, from_arrow_schema(LINE_PAIRS))
     return words.join(lines, [*keys, "y", "height"])
 
 
+def _walk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("scan_id", "reader", "line_no", "x", "y", "width", "height", "text", "confidence", "language")
+    line, part, texts = None, 0, []
+    left = top = right = bottom = 0
+    lowest, language = None, None
+
+    def closed() -> tuple:
+        return (line[0], line[1], " ".join(texts), left, top, right - left, bottom - top, lowest, language, line[2], part)
+    for batch in batches:
+        rows = []
+        for scan, reader, no, x, y, width, height, text, confidence, lang in zip(*(batch.column(n).to_pylist() for n in names)):
+            same = (scan, reader, no) == line
+            if same and x - right <= max(float(K.WORD_MIN_GAP_PX), max(bottom - top, height) * K.WORD_GAP_HEIGHT_RATIO):
+                texts.append(text)
+                left, top, right, bottom = min(left, x), min(top, y), max(right, x + width), max(bottom, y + height)
+                lowest = confidence if lowest is None else lowest if confidence is None else min(lowest, confidence)
+                continue
+            if line is not None:
+                rows.append(closed())
+            part = part + 1 if same else 0
+            line, texts, left, top, right, bottom = (scan, reader, no), [text], x, y, x + width, y + height
+            lowest, language = confidence, lang
+        yield _arrow(rows, MERGED_WORDS)
+    if line is not None:
+        yield _arrow([closed()], MERGED_WORDS)
+
+
 def merge_words(lines: DataFrame) -> DataFrame:
     """Joins the words of each visual line across small gaps; returns boxes in reading order.
 
-    One group is one printed line and its output is that line's text, so the fold holds no more
-    than the rows it writes.
+    Lines are spread over tasks, so a photo with very many lines is shared out. The walk streams
+    sorted Arrow batches and holds the words of the box it is building, which is the text it writes.
+    A null text counts as empty, a null confidence is passed over; words without x or width are left out.
     """
     keys = ["scan_id", "reader", "line_no"]
-    gathered = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("x", "y", "word_idx", "width", "height", "text", "confidence", "language"))).alias("ws"))
-
-    def opened(w: Column) -> Column:
-        return F.struct(w["x"].alias("x"), w["y"].alias("y"), (w["x"] + w["width"]).alias("right"),
-                        (w["y"] + w["height"]).alias("bottom"), w["text"].alias("text"),
-                        w["confidence"].alias("confidence"), w["language"].alias("language"))
-
-    def step(acc: Column, w: Column) -> Column:
-        cur = acc["cur"]
-        gap_limit = F.greatest(F.lit(float(K.WORD_MIN_GAP_PX)),
-                               F.greatest(cur["bottom"] - cur["y"], w["height"]) * K.WORD_GAP_HEIGHT_RATIO)
-        near = w["x"] - cur["right"] <= gap_limit
-        grown = F.struct(
-            F.least(cur["x"], w["x"]).alias("x"), F.least(cur["y"], w["y"]).alias("y"),
-            F.greatest(cur["right"], w["x"] + w["width"]).alias("right"),
-            F.greatest(cur["bottom"], w["y"] + w["height"]).alias("bottom"),
-            F.concat(cur["text"], F.lit(" "), w["text"]).alias("text"),
-            F.least(cur["confidence"], w["confidence"]).alias("confidence"), cur["language"].alias("language"))
-        return F.when(near, F.struct(acc["done"].alias("done"), grown.alias("cur"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(cur)).alias("done"), opened(w).alias("cur")))
-
-    shape = "array<struct<x:int,y:int,right:int,bottom:int,text:string,confidence:double,language:string>>"
-    first = F.element_at("ws", 1)
-    folded = F.aggregate(F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))),
-                         F.struct(F.array().cast(shape).alias("done"), opened(first).alias("cur")), step,
-                         lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    merged = gathered.select("scan_id", "reader", "line_no", F.posexplode(folded).alias("part_no", "b")).select(
-        "scan_id", "reader", F.col("b.text").alias("text"), F.col("b.x").alias("x"), F.col("b.y").alias("y"),
-        (F.col("b.right") - F.col("b.x")).cast("int").alias("width"),
-        (F.col("b.bottom") - F.col("b.y")).cast("int").alias("height"),
-        F.col("b.confidence").alias("confidence"), F.col("b.language").alias("language"), "line_no", "part_no")
+    ship(lines.sparkSession)
+    known = lines.dropna(subset=["x", "width"]).select(
+        *keys, "x", "y", "width", "height", F.coalesce("text", F.lit("")).alias("text"), "confidence", "language", "word_idx")
+    merged = known.repartition(*keys).sortWithinPartitions(*keys, "x", "y", "word_idx", "width", "height", "text").drop("word_idx").mapInArrow(
+        _walk_words, from_arrow_schema(MERGED_WORDS))
     return number_regions(merged)
 
 
