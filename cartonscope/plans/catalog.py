@@ -11,7 +11,7 @@ from cartonscope import constants as K
 from cartonscope import schemas as S
 from cartonscope.functions import patterns as P
 from cartonscope.functions import text as X
-from cartonscope.operators import admission, imaging
+from cartonscope.operators import admission, dashboard, imaging
 from cartonscope.operators import anchors as A
 from cartonscope.operators import extraction as E
 from cartonscope.operators import layout as L
@@ -25,6 +25,7 @@ from cartonscope.plans import label_tables as T
 from cartonscope.session import configure, rocks
 from cartonscope.sources import readers, sinks
 from cartonscope.sources.bucketed import all_ids
+from cartonscope.sources.daily_table import DailyTable
 from cartonscope.sources.results_table import ResultsTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,6 +563,38 @@ def agg_13(spark, d):
     return R.score_bands(T.scans(spark, d))
 
 
+def _days(spark, d) -> DailyTable:
+    """Counts by day after a load a year; one load is repeated, and the first ones are summed up before the last come."""
+    scans, days = T.scans(spark, d), DailyTable(spark, T.scratch(spark))
+    span = scans.agg(F.min(F.year("created_at")).alias("first"), F.max(F.year("created_at")).alias("last")).first()
+    if span["first"] is None:
+        return days
+    for year in range(span["first"], span["last"] + 1):
+        days.add_scans(scans.filter(F.year("created_at") == year), year)
+        if year == span["first"] + 3:
+            days.compact()
+            days.add_scans(scans.filter(F.year("created_at") == year), year)
+    return days
+
+
+@query("agg_days")
+def agg_days(spark, d):
+    return _days(spark, d).read().select(F.col("day").cast("string").alias("day"), "overall_status", "band", "n")
+
+
+@query("agg_dashboard")
+def agg_dashboard(spark, d):
+    """The dashboard's payload from counts by day, a row an entry."""
+    whole = dashboard.payload(_days(spark, d).read(), T.scans(spark, d), T.products(spark, d), NOW)
+    def entries(part, items, name, n):
+        return F.transform(items, lambda e: F.struct(F.lit(part).alias("part"), name(e).cast("string").alias("name"), n(e).cast("bigint").alias("n")))
+    return whole.select(F.inline(F.concat(
+        F.array(F.struct(F.lit("total").alias("part"), F.lit("scans").alias("name"), F.col("total_scans").cast("bigint").alias("n"))),
+        entries("status", F.col("by_status"), lambda e: e["overall_status"], lambda e: e["n"]),
+        entries("failure", F.col("recent_failures"), lambda e: e["product_name"], lambda e: e["id"]),
+        entries("trend", F.col("trend"), lambda e: e["day"], lambda e: e["n"]))))
+
+
 # ---- register --------------------------------------------------------------------------------
 
 @query("qry_1")

@@ -23,7 +23,7 @@ from cartonscope.operators.verification import KEY
 BUCKETS = 64
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -127,7 +127,7 @@ class ResultsTable:
         self._write(self.read(due).withColumn("gen", gen), "rows", "gen")
         for bucket, load in found:
             if bucket in due:
-                _remove(self.spark, f"{self.path}/changes/bucket={bucket}/load={load}")
+                remove(self.spark, f"{self.path}/changes/bucket={bucket}/load={load}")
         for bucket in due:
-            _remove(self.spark, f"{self.path}/rows/bucket={bucket}/gen={newest[bucket]}")
+            remove(self.spark, f"{self.path}/rows/bucket={bucket}/gen={newest[bucket]}")
         return due

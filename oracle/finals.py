@@ -240,8 +240,16 @@ FROM (SELECT scan_id, bool_and(outcome = 'OK') AS ok FROM golden GROUP BY 1)""",
 put("agg_13", """SELECT CASE WHEN compliance_score >= 80 THEN 'high' WHEN compliance_score >= 50 THEN 'mid' ELSE 'low' END AS band, count(*) AS n
 FROM scans WHERE compliance_score IS NOT NULL GROUP BY 1""", "scans")
 
+put("agg_days", """SELECT created_at::DATE::VARCHAR AS day, overall_status,
+  CASE WHEN compliance_score >= 80 THEN 'high' WHEN compliance_score >= 50 THEN 'mid' WHEN compliance_score IS NOT NULL THEN 'low' END AS band,
+  count(*) AS n FROM scans GROUP BY ALL""", "scans")
+
 # ---- register --------------------------------------------------------------------------------
 block("named", "SELECT s.*, p.name, coalesce(p.name, 'Unknown') AS product_name FROM scans s LEFT JOIN products p ON p.id = product_id", "scans", "products")
+put("agg_dashboard", """SELECT 'total' AS part, 'scans' AS name, count(*) AS n FROM scans
+UNION ALL SELECT 'status', overall_status, count(*) FROM scans GROUP BY 2
+UNION ALL SELECT 'failure', product_name, id FROM (SELECT * FROM named WHERE overall_status = 'FAIL' ORDER BY created_at DESC, id DESC LIMIT 10)
+UNION ALL SELECT 'trend', day::VARCHAR, n FROM series""", "scans", "named", "series")
 put("qry_1", "SELECT id, product_name, overall_status FROM named", "named")
 put("qry_2", "SELECT id, product_name FROM named WHERE name ILIKE '%B_lT%'", "named")
 put("qry_3", "SELECT id, overall_status FROM scans WHERE overall_status = 'FAIL'", "scans")
